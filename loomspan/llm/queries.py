@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate
+from loomspan.llm import bpe, decontaminate, line_dedup
 from loomspan.session import table
 
 
@@ -12,9 +12,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_decontaminate": op5_decontaminate}
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
