@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, licenses, line_dedup
+from loomspan.llm import bpe, decontaminate, licenses, line_dedup, pii
 from loomspan.session import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op9_licenses": op9_licenses}
+QUERIES = {"op1_bpe": op1_bpe, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
