@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,8 +220,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scorer(model: Model):
     """A column function from text to score."""
-    import pandas as pd
-
     said = (model.words, model.stems, model.weights)
 
     @F.pandas_udf("double")
