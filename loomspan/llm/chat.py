@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.session import materialize
@@ -50,15 +50,16 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ids = nodes.select("node")
     up = nodes.join(ids.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("up"))
     tables: list[DataFrame] = []
+    before = 0
     while len(tables) < 62:
         up, _ = materialize(up, "ancestors")
-        if up.isEmpty():
-            break
+        rows = up.count()
+        if not rows or tables and rows == before:
+            break  # no node reaches as far, or none but those at cycles
         tables.append(up)
+        before = rows
         far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
         up = up.join(far, "up").select("node", F.col("far").alias("up"))
-        if len(tables) > 1 and up.select(F.count(F.lit(1))).first()[0] == tables[-1].select(F.count(F.lit(1))).first()[0]:
-            break  # only cycles reach as far again
     return tables, ids
 
 
@@ -69,8 +70,15 @@ def paths(nodes: DataFrame) -> DataFrame:
     found = ids.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
     for k in reversed(range(len(tables))):
         step = tables[k].select("node", F.col("up").alias("ancestor"))
+        found, _ = materialize(found, "paths")  # else the plan doubles with each round
         found = found.unionByName(found.join(step, "node").select("leaf", F.col("ancestor").alias("node"), (F.col("up") + (1 << k)).alias("up")))
-    return found
+    if not tables:
+        return found
+    found, _ = materialize(found, "paths")
+    # a leaf below a cycle never meets a root
+    roots = ids.join(tables[0].select("node"), "node", "left_anti")
+    rooted = found.join(roots, "node", "left_semi").select("leaf")
+    return found.join(rooted, "leaf", "left_semi")
 
 
 def formatted(messages: Column) -> Column:
@@ -79,37 +87,44 @@ def formatted(messages: Column) -> Column:
 
 
 def loss_spans(messages: Column) -> Column:
-    """(start, end) of each assistant text within the formatted string, end exclusive."""
-    head, tail = len(START) + len(SEP), len(END) + 1
-    sized = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), (F.length(escape(m["role"])) + head).cast("bigint").alias("before"), F.length(escape(m["text"])).cast("bigint").alias("own")))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    span = lambda acc, m: F.struct((acc["at"] + m["before"]).alias("start"), (acc["at"] + m["before"] + m["own"]).alias("end"))
-    return F.aggregate(
-        sized, begin,
-        lambda acc, m: F.struct((acc["at"] + m["before"] + m["own"] + tail).alias("at"), F.when(m["role"] == ASSISTANT, F.concat(acc["spans"], F.array(span(acc, m)))).otherwise(acc["spans"]).alias("spans")),
-    )["spans"]
-
-
-def _loss_spans_flat(messages: Column) -> Column:
-    """As :func:`loss_spans`, from (role, text, at) messages that carry the characters before them."""
+    """(start, end) of each assistant text within the formatted string, end exclusive; of an
+    array of (role, text, at), ``at`` being the characters before the message."""
     head = len(START) + len(SEP)
     mine = F.filter(messages, lambda m: m["role"] == ASSISTANT)
     return F.transform(mine, lambda m: F.struct((m["at"] + head + F.length(escape(m["role"]))).alias("start"), (m["at"] + head + F.length(escape(m["role"])) + F.length(escape(m["text"]))).alias("end")))
 
 
+def _ranked(branches: DataFrame) -> DataFrame:
+    """``rank`` of (tree, leaf, score) within each tree by falling score, then leaf. The order is
+    dealt by range, so a tree of any size is numbered by many tasks: a place within the task's
+    range plus what the ranges before it hold of the same tree."""
+    dealt = branches.repartitionByRange("tree", F.desc("score"), "leaf").withColumn("part", F.spark_partition_id())
+    dealt, _ = materialize(dealt, "branch-ranges")  # the ranges are fixed from here on
+    held = dealt.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select("tree", "part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("tree", "part").orderBy(F.desc("score"), "leaf"))
+    d, h = dealt.withColumn("place", place), held
+    return d.join(h, d["tree"].eqNullSafe(h["tree"]) & (d["part"] == h["part"])).select(d["leaf"], (d["place"] + h["before"]).cast("bigint").alias("rank"))
+
+
 def format_trees(nodes: DataFrame) -> DataFrame:
     """Of (tree, node, parent, role, text, score): per branch (tree, leaf, rank, score, n_turns,
     formatted, loss). ``node`` is unique; rank 1 has the highest score, ties by leaf."""
     n = nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    on_path = paths(n.select("node", "parent")).join(n.drop("parent"), "node")
+    n, _ = materialize(n, "nodes")
+    steps, _ = materialize(paths(n.select("node", "parent")), "paths")
     size = (F.length(escape(F.col("role"))) + F.length(escape(F.col("text"))) + len(START) + len(SEP) + len(END) + 1).cast("bigint")
-    # the array sorts by place first: (-up) from the root down
-    branch = on_path.groupBy("leaf").agg(F.max("tree").alias("tree"), F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("place"), "role", "text", size.alias("size")))).alias("turns"))
-    branch = branch.where(F.col("turns").isNotNull())
-    branch = branch.withColumn("ends", F.aggregate("turns", F.array(F.lit(0).cast("bigint")), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m["size"]))))
-    branch = branch.withColumn("turns", F.zip_with("turns", F.slice("ends", 1, F.size("turns")), lambda m, at: F.struct(m["role"].alias("role"), m["text"].alias("text"), at.alias("at"))))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return branch.select("tree", "leaf", rank.alias("rank"), "score", F.size("turns").cast("bigint").alias("n_turns"), formatted(F.col("turns")).alias("formatted"), _loss_spans_flat(F.col("turns")).alias("loss"))
+    on_path = steps.join(n.select("node", "tree", "role", "text", "score", size.alias("size")), "node")
+    # from the root down: -up rises; the sum of sizes gives where a message starts
+    down = Window.partitionBy("leaf").orderBy(F.desc("up"))
+    at = F.coalesce(F.sum("size").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    turn = F.struct((-F.col("up")).alias("place"), "role", "text", "at")
+    branch = on_path.withColumn("at", at).groupBy("leaf").agg(F.max("tree").alias("tree"), F.sum("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    scores = steps.join(n.select("node", "tree", "score"), "node").groupBy("leaf").agg(F.max("tree").alias("tree"), F.sum("score").alias("score"))
+    ranks = _ranked(scores).withColumnRenamed("leaf", "__leaf")
+    branch = branch.join(ranks, branch["leaf"] == ranks["__leaf"])
+    return branch.select("tree", "leaf", "rank", "score", F.size("turns").cast("bigint").alias("n_turns"), formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
 
 
 def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -117,7 +132,7 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     r = rows.select(rows[conv_col].alias("conv"), rows[turn_col].alias("turn"), rows[role_col].cast("string").alias("role"), rows[text_col].cast("string").alias("text"))
     place = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     r = r.withColumn("place", place)
-    key = lambda p: F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("null")), p)
+    key = lambda p: F.concat_ws(":", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("n")), p)
     return r.select(F.col("conv").alias("tree"), key(F.col("place")).alias("node"), F.when(F.col("place") > 1, key(F.col("place") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
@@ -132,7 +147,17 @@ def read_back(out: DataFrame) -> DataFrame:
     return back.select("tree", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("masked").cast("bigint").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-#: DuckDB SQL for the rows of the registered query.
+def probe(spark: SparkSession) -> DataFrame:
+    """A conversation whose texts are made of control strings."""
+    row = spark.range(2).select(F.lit(PROBE).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    return row
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """Every conversation formatted and read back."""
+    return read_back(format_trees(conversations(rows))).withColumnRenamed("tree", "conv_id")
+
+
 def _sql_escape(c: str) -> str:
     out = f"replace({c}, '\\', '\\\\')"
     for s in CONTROL:
@@ -140,6 +165,7 @@ def _sql_escape(c: str) -> str:
     return out
 
 
+#: DuckDB SQL for the rows of the registered query.
 ORACLE = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, licenses, line_dedup, pii, toxicity
+from loomspan.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, toxicity
 from loomspan.session import table
 
 
@@ -29,9 +29,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.unionByName(chat.probe(spark)))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op9_licenses": op9_licenses}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op9_licenses": op9_licenses}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE}
