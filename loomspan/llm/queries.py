@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, toxicity
+from loomspan.llm import bpe, chat, decontaminate, licenses, line_dedup, near_dup, pii, toxicity
 from loomspan.session import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op9_licenses": op9_licenses}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_dup": op2_near_dup, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op9_licenses": op9_licenses}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": near_dup.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE}
