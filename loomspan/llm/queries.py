@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, chat, decontaminate, licenses, line_dedup, near_dup, pii, topk, toxicity
+from loomspan.llm import bpe, chat, decontaminate, html_text, licenses, line_dedup, near_dup, pii, topk, toxicity
 from loomspan.session import table
 
 
@@ -47,5 +47,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_dup": op2_near_dup, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_topk": op8_topk, "op9_licenses": op9_licenses}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_dup": op2_near_dup, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_topk": op8_topk, "op9_licenses": op9_licenses, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {"op2_near_dup": near_dup.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE, "op8_topk": topk.ORACLE}
