@@ -13,10 +13,11 @@ alone; the windows of repeated item ids count for one item). Only named columns
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from loomspan.session import materialize
 WIDTH = 8
 #: An item that occurs in a document is one of at least so many that make it contaminated.
 LEAST_ITEMS = 2
+#: One item alone contaminates a document if so large a share of its windows occurs.
+LEAST_SHARE = 0.5
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4_000_000
 #: Blocks that pass through one chain of Python workers before the state is written.
@@ -81,14 +84,25 @@ def searchers(items: list[tuple[str, bytes]], width: int = WIDTH) -> list[WuManb
     return [WuManber(m, windows) for m, windows in sorted(by_length.items())]
 
 
-def scan(w: list[bytes], with_searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
-    """Merged spans of hit words (end exclusive) and the items whose windows occur."""
-    spans, items = [], set()
+def totals(with_searchers: list[WuManber]) -> dict[str, int]:
+    """Number of distinct windows of each item."""
+    return Counter(item for s in with_searchers for _, strings in s.buckets.values() for items in strings.values() for item in items)
+
+
+def scan(w: list[bytes], with_searchers: list[WuManber], of: dict[str, int] | None = None) -> tuple[list[tuple[int, int]], set, float]:
+    """Merged spans of hit words (end exclusive), the items whose windows occur, and the largest
+    share of an item's windows that occurs (0 without the totals)."""
+    spans, items, seen = [], set(), set()
     for s in with_searchers:
         for at, found in s.find(w):
             items |= found
             spans.append((at, at + s.m))
-    return merge(spans), items
+            seen.add(tuple(w[at : at + s.m]))
+    share = 0.0
+    if seen and of:
+        own = Counter(item for s in with_searchers for x in seen if len(x) == s.m for item in s.buckets[x[s.m - s.b :]][1].get(x, ()))
+        share = max(n / of[item] for item, n in own.items())
+    return merge(spans), items, share
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,16 +120,17 @@ def blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) ->
     b = bench.select(bench[item_col].cast("string").alias("item"), bench[text_col].cast("string").alias("text")).where("item is not null and text is not null and text <> ''")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
-    b = b.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    b = b.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
     for k in range(n):
         yield [(r.item, r.text.encode()) for r in b.where(F.col("block") == k).collect()]
 
 
 def annotate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: id, n_words, hit word spans (start, end) and the items found, sorted."""
+    """Per document row: id, n_words, hit word spans (start, end), the items found, sorted, and
+    the largest share of an item's windows."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    state = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    state = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0.0).alias("share"))
     for k, block in enumerate(blocks(bench, item_col, bench_text_col, block_bytes)):
         if k and k % CHAIN == 0:
             state = materialize(state, "decontaminate")[0]
@@ -123,27 +138,29 @@ def annotate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             tables = searchers(sent.value, width)
+            of = totals(tables)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     part = batch.slice(lo, 512)
-                    hits, items = [], []
-                    for text, flat, known in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                        spans, found = scan(words(text), tables)
+                    hits, items, shares = [], [], []
+                    for text, flat, known, least in zip(*[part.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
+                        spans, found, share = scan(words(text), tables, of)
+                        shares.append(max(share, least))
                         flat = flat or []
                         hits.append([x for s in merge([*zip(flat[::2], flat[1::2], strict=True), *spans]) for x in s])
                         items.append(sorted({*(known or ()), *found}))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(shares, pa.float64())], names=["id", "text", "hits", "items", "share"])
 
-        state = state.mapInArrow(run, f"id {kind}, text binary, hits array<int>, items array<string>")
+        state = state.mapInArrow(run, f"id {kind}, text binary, hits array<int>, items array<string>, share double")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 n = [len(words(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(2), part.column(3)], names=[id_col, "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(2), part.column(3), part.column(4)], names=[id_col, "n_words", "hits", "items", "share"])
 
-    return state.mapInArrow(close, f"`{id_col}` {kind}, n_words bigint, hits array<int>, items array<string>")
+    return state.mapInArrow(close, f"`{id_col}` {kind}, n_words bigint, hits array<int>, items array<string>, share double")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = LEAST_ITEMS, **how) -> DataFrame:
@@ -156,6 +173,33 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def _judge(sent, width: int):
+    @F.pandas_udf("n bigint, share double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tables = searchers(sent.value, width)
+        of = totals(tables)
+        for texts in batches:
+            found = [scan(words(None if t is None else bytes(t)), tables, of) for t in texts]
+            yield pd.DataFrame({"n": [len(f[1]) for f in found], "share": [f[2] for f in found]})
+
+    return judge
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", width: int = WIDTH, least_items: int = LEAST_ITEMS, least_share: float = LEAST_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows: those that hold windows of ``least_items`` items, or
+    ``least_share`` of the windows of one. A row that a block condemns passes no further block."""
+    spark, names = docs.sparkSession, docs.columns
+    # the found items of earlier blocks travel with a row under names of their own
+    state = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text_col].cast("binary").alias("text"), F.lit(0).cast("bigint").alias("n"))
+    for k, block in enumerate(blocks(bench, item_col, bench_text_col, block_bytes)):
+        if k and k % CHAIN == 0:
+            state = materialize(state, "decontaminate")[0]
+        sent = spark.sparkContext.broadcast(block)
+        judged = state.withColumn("judged", _judge(sent, width)("text"))
+        state = judged.withColumn("n", F.col("n") + F.col("judged.n")).where((F.col("n") < least_items) & (F.col("judged.share") < least_share)).drop("judged")
+    return state.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 #: DuckDB SQL for the rows of the registered query.
 ORACLE = r"""
 WITH d AS (

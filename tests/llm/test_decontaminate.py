@@ -43,3 +43,16 @@ def test_against_brute_force(spark):
     assert D.decontaminate(d.limit(0), b).count() == 0
     none = D.decontaminate(d, b.limit(0))
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(docs)
+
+
+def test_one_whole_item_is_enough_to_drop_a_document(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    other = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(1, "x " + item + " y"), (2, "x " + " ".join(item.split()[:9]) + " y"), (3, " ".join(item.split()[:8]) + " and " + " ".join(other.split()[:8])), (4, "clean"), (5, None), (None, "clean too"), (4, "clean")]
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, n int")
+    b = spark.createDataFrame([("a", item), ("b", other), ("c", None)], "item_id string, text string")
+    for size in (10**6, 40):
+        kept = D.drop_contaminated(d, b, block_bytes=size)
+        assert kept.columns == d.columns
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, docs[1:2] + docs[3:]))
+    assert D.drop_contaminated(d, b.limit(0)).count() == len(docs) and D.drop_contaminated(d.limit(0), b).count() == 0
