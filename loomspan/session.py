@@ -38,11 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/loomspan/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage is cut by
     files that every executor sees. Returns the frame and its path, for :func:`release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomspan/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
