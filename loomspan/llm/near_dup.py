@@ -8,10 +8,11 @@ coordinates propose candidates; a pair with Jaccard 0.8 shares no band with a ch
 
 Texts with equal sets are one node. In each bucket (texts that share a band) members are first
 held against one centre, the member with most company over all its buckets; connected texts
-need no further pairs. Buckets that still hold more than one component go on: members against
-``CENTRES`` centres of other components, then all remaining pairs of different components. So
-large groups cost links in proportion to their members, and no candidate pair of different
-components stays unchecked.
+need no further pairs. Buckets that still hold more than one component are finished exactly:
+pairs of different components are listed where bucket and components are small. Where a bucket
+holds part of a large component, its other members become that component's visitors, and
+visitors are compared with the whole component and with each other in tiles, a block of texts
+by a block of texts at once; so no group's pairs are ever emitted as rows.
 
 Rows: a text without words has an empty set and no links. A null id is linked with nothing: its
 component is null and the row is kept. Rows that share an id are one document: a link of one is
@@ -25,8 +26,9 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.session import materialize
@@ -35,8 +37,8 @@ from loomspan.session import materialize
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 64, 8
 SLOTS = 1 << 20
-#: Centres that members of an open bucket are held against before all pairs are.
-CENTRES = 16
+#: Texts and bytes of one side of a tile; larger components and buckets are compared in tiles.
+BLOCK, BLOCK_BYTES = 128, 8_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANKS = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _MIX = np.random.default_rng(8).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,6 +148,51 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
 
 
+def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of a group's visitors among themselves and to the group's own members; both
+    are (g, node, component), texts are (node, text). A group is cut into tiles of at most about
+    ``BLOCK`` by ``BLOCK`` texts and ``BLOCK_BYTES`` a side, each compared at once; of a
+    visitor's links into one component one is enough."""
+    kind = texts.schema["node"].dataType.simpleString()
+    text = texts.select(F.col("node").alias("__node"), "text")
+    with_text = lambda df: df.join(text, df["node"] == text["__node"]).drop("__node")
+    left, _ = materialize(with_text(visitors), "tile-visitors")
+    right = left.unionByName(with_text(inside))
+    right, _ = materialize(right, "tile-members")
+    cut = lambda df, name: df.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias(name))
+    counts, _ = materialize(cut(left, "n_left").join(cut(right, "n_right"), "g"), "tile-counts")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = left.join(counts, "g").select("g", place("n_left").alias("i"), every("n_right").alias("j"), F.lit(True).alias("visits"), "node", "component", "text")
+    r = right.join(counts, "g").select("g", every("n_left").alias("i"), place("n_right").alias("j"), F.lit(False).alias("visits"), "node", "component", "text")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["visits"] == side] for side in (True, False)]
+        sets = [[shingles(bytes(t), width) for t in side["text"]] for side in sides]
+        found = []
+        if all(map(len, sets)):
+            both = np.intersect1d(*[np.concatenate(s) for s in sets])
+            held = []
+            for s in sets:
+                m = np.zeros((len(s), len(both)), np.float32)
+                for i, x in enumerate(s):
+                    m[i, np.searchsorted(both, np.intersect1d(x, both, assume_unique=True))] = 1
+                held.append(m)
+            common = np.rint(held[0] @ held[1].T).astype(np.int64)
+            a, b = (np.array([len(x) for x in s], np.int64) for s in sets)
+            linked = (common > 0) & (100 * common >= percent * (a[:, None] + b[None, :] - common))
+            nodes, groups = [s["node"].to_list() for s in sides], [s["component"].to_list() for s in sides]
+            for i in range(len(nodes[0])):
+                seen = {groups[0][i]}
+                for j in np.flatnonzero(linked[i]).tolist():
+                    if groups[1][j] not in seen:
+                        seen.add(groups[1][j])
+                        found.append((nodes[0][i], nodes[1][j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return l.unionByName(r).groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Of (a, b): (node, component), the least node that a node reaches; the least has no row.
 
@@ -188,38 +235,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     texts = rows.where("id is not null").join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("id").alias("node"), "text")
     texts, _ = materialize(texts.distinct(), "candidate-texts")
 
-    tested = None
-    state = None
-    for centres in (1, CENTRES, None):
-        open_ = members
-        if state is not None:
-            labelled = members.join(state, "node", "left").select("key", "node", "company", F.coalesce("component", "node").alias("component"))
-            open_, _ = materialize(labelled, "bucket-components")
-            keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            open_ = open_.join(materialize(keys, "open-keys")[0], "key")
-        else:
-            open_ = open_.withColumn("component", F.col("node"))
-        if centres == 1:
-            heads = open_.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x")).select("key", F.col("x.node").alias("other"), F.col("x.node").alias("rival"))
-        else:
-            heads = open_
-            if centres:
-                heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("company"), "node"))).where(F.col("place") <= centres)
-            heads = heads.select("key", F.col("node").alias("other"), F.col("component").alias("rival"))
-        heads, _ = materialize(heads, "bucket-heads")
-        m, h = open_, heads.withColumnRenamed("key", "head_key")
-        found = m.join(h, (m["key"] == h["head_key"]) & (m["component"] != h["rival"]))
-        # the member with more company comes first: its set is met again and again
-        pairs = found.select(F.least("other", "node").alias("b"), F.greatest("other", "node").alias("a")).distinct() if centres != 1 else found.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-        if tested is not None:
-            done = tested.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs, _ = materialize(pairs, "candidate-pairs")
-        if state is not None and pairs.isEmpty():
-            break
-        answers, _ = materialize(confirm(pairs, texts, width, percent), "confirmed-pairs")
-        tested = answers if tested is None else tested.unionByName(answers)
-        state, _ = materialize(components(tested.where("linked").select("a", "b").unionByName(links)), "components")
+    # each bucket's member with most company against the others
+    heads = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x")).select("key", F.col("x.node").alias("a"))
+    heads, _ = materialize(heads, "bucket-heads")
+    pairs, _ = materialize(members.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
+    tested, _ = materialize(confirm(pairs, texts, width, percent), "confirmed-pairs")
+    sure = tested.where("linked").select("a", "b").unionByName(links)
+    state, _ = materialize(components(sure), "components")
+
+    # buckets that hold more than one component
+    labelled, _ = materialize(members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
+    sizes = state.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
+    sizes, _ = materialize(sizes.where(F.col("size") > BLOCK), "large-components")
+    keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("key", "held")
+    keys, _ = materialize(keys, "open-keys")
+    if not keys.isEmpty():
+        open_, _ = materialize(labelled.join(keys, "key"), "open-buckets")
+        large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("hub"))
+        large, _ = materialize(large, "open-hubs")
+        # a bucket's group: the hub it holds, or the bucket if it is large itself
+        dealt, _ = materialize(open_.join(large, "key", "left"), "open-groups")
+        small = dealt.where(F.col("hub").isNull() & (F.col("held") <= BLOCK)).select("key", "node", "component")
+        other = small.select("key", F.col("node").alias("other"), F.col("component").alias("rival"))
+        rest = small.join(other, "key").where("node < other and component <> rival").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+        done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        listed, _ = materialize(rest.join(done, ["a", "b"], "left_anti"), "candidate-pairs")
+        answers, _ = materialize(confirm(listed, texts, width, percent).where("linked").select("a", "b"), "confirmed-pairs")
+        by_hub = dealt.where("hub is not null and component <> hub").select(F.concat(F.lit("c"), F.col("hub").cast("string")).alias("g"), "node", "component").distinct()
+        by_key = dealt.where(F.col("hub").isNull() & (F.col("held") > BLOCK)).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
+        visitors, _ = materialize(by_hub.unionByName(by_key), "visitors")
+        hubs = dealt.where("hub is not null").select("hub").distinct()
+        whole = state.unionByName(state.select(F.col("component").alias("node"), "component").distinct())
+        inside = whole.join(hubs.withColumnRenamed("hub", "component"), "component").select(F.concat(F.lit("c"), F.col("component").cast("string")).alias("g"), "node", "component")
+        met, _ = materialize(tiles(visitors, inside, texts, width, percent), "tile-links")
+        state, _ = materialize(components(sure.unionByName(answers).unionByName(met)), "components")
     label = F.coalesce("component", "node")
     return mine.join(state, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
 

@@ -57,6 +57,24 @@ def test_against_brute_force(spark, seed, width):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, width)
 
 
+def test_large_groups_are_finished_in_tiles(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(60)]
+        for _ in range(60):
+            v = list(base)
+            for _ in range(rng.randint(0, 8)):
+                v[rng.randrange(len(v))] = word()
+            rows.append((len(rows), " ".join(v)))
+    monkeypatch.setattr(N, "BLOCK", 7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.classes(df, width=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, 2)
+    assert 3 < len({r.component_id for r in got}) < len(rows)
+
+
 def test_dedup_keeps_columns_and_one_of_each_group(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
