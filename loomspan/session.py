@@ -45,10 +45,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage is cut by
-    files that every executor sees. Returns the frame and its path, for :func:`release`."""
+    files that every executor sees. Returns the frame and its path, for :func:`release`.
+
+    zstd: its streams free their buffers when they close, where those of the default codec stay
+    outside the heap until a collection comes."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
