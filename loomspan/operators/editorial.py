@@ -103,3 +103,13 @@ def missing(ids: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def same_keys(a: Column, b: Column) -> Column:
     """Whether two maps have the same keys."""
     return F.array_sort(F.map_keys(a)) == F.array_sort(F.map_keys(b))
+
+
+def exclude(items: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Items that are not on a list: of sources, addresses or links that are dead."""
+    return items.join(listed.select(key).distinct(), key, "left_anti")
+
+
+def audiences(topics: DataFrame) -> DataFrame:
+    """A row per topic and audience, of the enabled topics."""
+    return topics.where("enabled").select("name", "pillar", F.explode("audiences").alias("audience"))
