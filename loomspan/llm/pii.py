@@ -221,6 +221,25 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+#: Letters that pass for digits inside a number, and runs that may hold such.
+_AS_DIGIT = {"l": "1", "I": "1", "|": "1", "O": "0", "o": "0"}
+_MIXED = re.compile(r"(?<![^\W_])(?=[+(]?[0-9]|[lIOo|][0-9])[+(]?[0-9lIOo|](?:[ ().-]{0,2}[0-9lIOo|]){6,40}(?![^\W_])")
+
+
+_MIXED_TRIGGER = re.compile(r"[0-9][lIOo|](?![^\W\d_lIOo])|(?<![^\W\d_])[lIOo|][0-9]")
+
+
+def digit_letters(tape: Tape) -> None:
+    """Letters for digits in runs of which they are at most a third, each beside a digit."""
+    edits = []
+    for m in _MIXED.finditer(tape.text):
+        at = [i for i in range(*m.span()) if tape.text[i] in _AS_DIGIT]
+        digits = sum(c in "0123456789" for c in m[0])
+        if at and 2 * len(at) <= digits and all(any(c in "0123456789" for c in tape.text[max(0, i - 1) : i + 2]) for i in at):
+            edits += [(i, i + 1, [(_AS_DIGIT[tape.text[i]], i, i + 1)]) for i in at]
+    tape.rewrite(edits)
+
+
 def plain_addresses(tape: Tape) -> None:
     """at/dot disguises. A bare `` at `` counts only with a disguised dot or a dot and a domain behind it."""
     edits = []
@@ -254,6 +273,8 @@ def disguised(text: str) -> dict[str, list[Span]]:
     tape = Tape(text)
     if has_glyphs(text):
         plain_glyphs(tape)
+    if _MIXED_TRIGGER.search(tape.text):
+        digit_letters(tape)
     if may_spell(tape.text):
         spelled_digits(tape)
     if _TRIGGER.search(tape.text):
