@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,9 +37,10 @@ def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def shares(rows: DataFrame, group: str) -> DataFrame:
-    """Items and their share of all by group."""
+    """Items and their share of all by group; the total is one row, sent to all tasks."""
+    total = rows.agg(F.count(F.lit(1)).alias("__all"))
     counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return counted.crossJoin(F.broadcast(total)).select(group, "n", (F.col("n") / F.col("__all")).alias("share"))
 
 
 def precision(rows: DataFrame, source: str, published: Column, least: int = 1) -> DataFrame:
