@@ -293,10 +293,10 @@ WITH RECURSIVE d AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
   SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)
-), both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), link AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
 ), r AS (
-  SELECT x AS doc_id, y AS other FROM both
-  UNION SELECT r.doc_id, both.y FROM r JOIN both ON both.x = r.other
+  SELECT x AS doc_id, y AS other FROM link
+  UNION SELECT r.doc_id, link.y FROM r JOIN link ON link.x = r.other
 ), c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
