@@ -18,6 +18,7 @@ document or repeat (the larger counts) do no harm; with one label missing the pr
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1500
 THRESHOLD = 0.7
 #: Each toxic training text is to be covered so many times; a cue must add so many texts, and
 #: so large a share of them.
@@ -214,8 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "id").dropDuplicates(["id"]).select("text", "y").collect()  # bounded by most
-    return fit(sorted(r.text for r in rows if r.y), sorted(r.text for r in rows if not r.y))
+    rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "id").dropDuplicates(["id"]).select("text", "y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [(r["text"], r["y"]) for batch in batches for r in batch.to_pylist()]
+        m = fit(sorted(t for t, y in known if y), sorted(t for t, y in known if not y))
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m.words, m.stems, m.weights])])], names=["model"])
+
+    # one task takes the sample, which ``most`` bounds, and the driver the model alone
+    got = rows.repartition(1).mapInArrow(learn, "model string").first()
+    return Model(*json.loads(got.model)) if got else Model()
 
 
 def scorer(model: Model):
