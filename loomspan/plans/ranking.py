@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.timephrase import in_range, parse, search_text
-from loomspan.operators import evaluate, retrieval
+from loomspan.operators import evaluate, retrieval, similar
 from loomspan.session import table
 
 TODAY = "2026-08-22"
@@ -108,7 +108,12 @@ def covered_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"), F.min("chunk_id").alias("first_id"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_batch, best_chunk_per_doc, retrieval_metrics, knn_classify, class_accuracy, bm25_rank, inverted_index, hybrid_rrf, date_filtered_topk, covered_before)}
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its class of items that links connect, and its number of links."""
+    return similar.near_classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
+
+
+QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_batch, best_chunk_per_doc, retrieval_metrics, knn_classify, class_accuracy, bm25_rank, inverted_index, hybrid_rrf, date_filtered_topk, covered_before, near_duplicates)}
 
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
 _S = _V + ", s AS (SELECT a.vec_id AS q, a.label AS ql, b.vec_id, b.label, CASE WHEN a.n * b.n = 0 THEN 0 ELSE list_dot_product(a.e, b.e) / (a.n * b.n) END AS sim FROM v a, v b WHERE {})"
@@ -140,4 +145,5 @@ ORACLE_SQL = {
     "hybrid_rrf": f"WITH {_ONE}, {_bm25('t AS (SELECT * FROM (' + _T[6:-1] + ') WHERE doc_id IN (SELECT vec_id FROM embeddings))', [(0, ['the', 'license'])])}, r AS (SELECT label AS doc_id, vec_id AS chunk_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), w AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS krank FROM b), f AS (SELECT doc_id, chunk_id, rank, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + krank), 0) AS score FROM r LEFT JOIN w USING (chunk_id)) {_BEST}",
     "date_filtered_topk": f"WITH {_ONE}, r AS (SELECT label AS doc_id, vec_id AS chunk_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), f AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS score FROM r WHERE {_DATES} BETWEEN DATE '2026-07-01' AND DATE '2026-07-31' OR {_DATES} - 30 BETWEEN DATE '2026-07-01' AND DATE '2026-07-31') {_BEST}",
     "covered_before": f"WITH {_MANY} SELECT q AS query_id, count(*) AS covered, min(vec_id) AS first_id FROM s WHERE vec_id <> q AND round(sim, 6) >= 0.4 GROUP BY q",
+    "near_duplicates": f"WITH RECURSIVE {_S.format('a.vec_id <> b.vec_id')}, l AS (SELECT q, vec_id AS other FROM s WHERE round(sim, 6) >= 0.4), r AS (SELECT q, other FROM l UNION SELECT r.q, l.other FROM r JOIN l ON l.q = r.other), c AS (SELECT q, min(other) AS least FROM r GROUP BY q), n AS (SELECT q, count(*) AS links FROM l GROUP BY q) SELECT e.vec_id, least(e.vec_id, coalesce(c.least, e.vec_id)) AS class_id, coalesce(n.links, 0)::BIGINT AS links FROM embeddings e LEFT JOIN c ON c.q = e.vec_id LEFT JOIN n ON n.q = e.vec_id",
 }
