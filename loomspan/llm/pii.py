@@ -118,14 +118,20 @@ _TOKEN = rf"(?:(?:plus|double|triple)\b|(?:{_DIGIT_WORD})\b|[0-9]+)"
 _SEP = r"(?:[\s]*[-.,/()·]?[\s]*)"
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:\+\s?|\()?{_TOKEN}(?:{_SEP}(?:(?:dot|point|punkt|punto|dash|hyphen|{_OPEN}(?:dot|\.){_CLOSE}){_SEP})?{_TOKEN})+(?![^\W_])")
 _INNER = re.compile(rf"(?i)({_DIGIT_WORD})\b|([0-9]+)|(plus)\b|(double|triple)\b|({_OPEN}(?:dot|\.){_CLOSE}|dot\b|point\b|punkt\b|punto\b)|(dash\b|hyphen\b)|(.)", re.S)
-_TRIGGER = re.compile(rf"(?i){_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}|[_-]at[_-]|\s@|@\s|@[A-Za-z0-9-]+\s+(?:dot|punkt|punto|point)\s|\s(?:at|arroba|arobase)\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|\s+(?:dot|punkt|punto|point)\s|[_-]dot)")
-_DIGIT_TRIGGER = re.compile(rf"[0-9]\s*{_OPEN}(?:dot|\.){_CLOSE}|[0-9]\s+(?:dot|punkt|point|punto)\s+[0-9]", re.I)
+_SPACED_DOT = r"(?:\s(?:dot|punkt|punto|point)\s|[_-]dot[_-])"
+#: Every at-form of _AT but a plain @; with one, every dot-form that must follow a bare at-word.
+_TRIGGER = re.compile(rf"(?i){_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}|[_-]at[_-]|\s@|@\s|\s(?:at|arroba|arobase)\s+[A-Za-z0-9-]+(?:\.|\s+(?:dot|punkt|punto|point)\s|[_-]dot[_-])")
+_DOT_TRIGGER = re.compile(rf"(?i){_SPACED_DOT}")
+#: Written digits around a spelled dot or dash: what _SPELLED takes without any word of _TOKEN.
+_DIGIT_TRIGGER = re.compile(rf"(?i)[0-9]{_SEP}(?:dot|point|punkt|punto|dash|hyphen|{_OPEN}(?:dot|\.){_CLOSE}){_SEP}[0-9]")
 _GLYPH = re.compile("[" + "".join(map(re.escape, sorted(GLYPHS))) + "]")
 
 
-#: Words of a text as far as spelled digits go: ASCII signs but letters, digits part them.
-_PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_DIGIT_KEYS = frozenset(w.encode() for w in DIGIT_WORDS)
+#: Runs of ASCII letters, lower-cased; every other byte parts them.
+_PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+_SPOKEN = ["plus", "double", "triple", *DIGIT_WORDS]
+#: The last such run of every word of _TOKEN, alone or right behind a spelled dot or dash.
+_DIGIT_KEYS = frozenset((dot + w).encode().translate(_PARTS).split()[-1] for w in _SPOKEN for dot in ("", "dot", "point", "punkt", "punto", "dash", "hyphen"))
 _LATIN_GLYPHS = [c for c in GLYPHS if c < "\u0100"]
 
 
@@ -139,10 +145,22 @@ def has_glyphs(text: str) -> bool:
     return any(c in text for c in _LATIN_GLYPHS)
 
 
+def fold(text: str) -> str:
+    """Lower case, with the letters that a pattern takes for i and s in any case."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i").replace("ſ", "s")
+
+
 def may_spell(text: str) -> bool:
-    """Whether spelled digits, or written ones around a spelled dot, can stand in the text."""
-    found = _DIGIT_KEYS.intersection(text.lower().encode().translate(_PARTS).split())
-    return bool(found) or bool(_DIGIT_TRIGGER.search(text))
+    """Whether spelled digits, or written ones around a spelled dot or dash, can stand in the
+    text; where not, ``spelled_digits`` changes nothing."""
+    return not _DIGIT_KEYS.isdisjoint(fold(text).encode().translate(_PARTS).split()) or bool(_DIGIT_TRIGGER.search(text))
+
+
+def may_address(text: str) -> bool:
+    """Whether a disguised address can stand in the text; where not, ``plain_addresses`` changes
+    nothing."""
+    return bool(_TRIGGER.search(text)) or "@" in text and bool(_DOT_TRIGGER.search(text))
 
 
 class Tape:
@@ -187,7 +205,7 @@ def spelled_digits(tape: Tape) -> None:
         for t in _INNER.finditer(tape.text, m.start(), m.end()):
             a, b = t.span()
             if t[1]:
-                outs.append((DIGIT_WORDS[t[1].lower()] * times, a, b))
+                outs.append((DIGIT_WORDS[fold(t[1])] * times, a, b))
                 words |= {a, b}
                 digits, spelled, times = digits + times, spelled + 1, 1
             elif t[2]:
@@ -197,7 +215,7 @@ def spelled_digits(tape: Tape) -> None:
                 outs.append(("+", a, b))
                 spelled += 1
             elif t[4]:
-                times, spelled = {"double": 2, "triple": 3}[t[4].lower()], spelled + 1
+                times, spelled = {"double": 2, "triple": 3}[fold(t[4])], spelled + 1
             elif t[5]:
                 outs.append((".", a, b))
                 spelled += 1
@@ -277,7 +295,7 @@ def disguised(text: str) -> dict[str, list[Span]]:
         digit_letters(tape)
     if may_spell(tape.text):
         spelled_digits(tape)
-    if _TRIGGER.search(tape.text):
+    if may_address(tape.text):
         plain_addresses(tape)
     if tape.text == text:
         return {}

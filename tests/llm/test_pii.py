@@ -82,3 +82,40 @@ def test_running_text_stays(text):
 
 def test_redact():
     assert pii.redact("ask jo at ex dot org or x@y.zz.") == "ask [email] or [email]."
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("call plus 49 170 1234567", "phone", "plus 49 170 1234567"),
+        ("card 4111 dash 1111 dash 1111 dash 1111", "card", "4111 dash 1111 dash 1111 dash 1111"),
+        ("card 4111 hyphen 1111 hyphen 1111 hyphen 1111", "card", "4111 hyphen 1111 hyphen 1111 hyphen 1111"),
+        ("at +1 415 double 5 0 triple 1 23 now", "phone", "+1 415 double 5 0 triple 1 23"),
+        ("four·one·one·one 1111 1111 1111", "card", "four·one·one·one 1111 1111 1111"),
+        ("4111 dashone one one one 1111 1111", None, None),
+        ("ſix ſeven one two three", None, None),
+        ("bob@mail.example dot com", "email", "bob@mail.example dot com"),
+        ("bob@example_dot_com", "email", "bob@example_dot_com"),
+        ("john dot doe@example.com", "email", "john dot doe@example.com"),
+    ],
+)
+def test_every_disguise_passes_its_gate(text, kind, span):
+    for pad in ("", "éà \n"):
+        spans = pii.find(pad + text)[1]
+        assert kind is None or (kind, span) in [(k, (pad + text)[a:b]) for k, a, b in spans]
+
+
+def test_gates_refuse_only_what_the_transducers_leave():
+    rng = random.Random(9)
+    digits = ["one", "Two", "fünf", "zéro", "dos", "ſix", "sİx", "plus", "double", "TRIPLE", "4", "17", "dot", "dash", "hyphen", "point", "[dot]", "(.)", "dotone", "+", "(", ")", "·", "-", "/", ",", ".", " ", " ", " ", "_", "́", "—", "“", "é", "x", "\n", " "]
+    mail = ["jo", "ex", "com", "a1", "@", " at ", " dot ", " punkt ", "_dot_", "-dot-", "[at]", "(dot)", "{ät}", "-at-", "<.>", ".", "-", " ", "\n", "_", "é", " arroba ", "%", "ſ"]
+    mixed = ["1", "23", "l", "I", "O", "o", "|", " ", "-", "(", "+", "x", "_", "é", "."]
+    edited = {"spell": 0, "mail": 0, "mixed": 0}
+    for _ in range(10_000):
+        for name, bits, gate, run in (("spell", digits, pii.may_spell, pii.spelled_digits), ("mail", mail, pii.may_address, pii.plain_addresses), ("mixed", mixed, pii._MIXED_TRIGGER.search, pii.digit_letters)):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(2, 14)))
+            tape = pii.Tape(text)
+            run(tape)
+            edited[name] += tape.text != text
+            assert tape.text == text or gate(text), (name, text)
+    assert min(edited.values()) > 30
