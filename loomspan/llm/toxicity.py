@@ -46,7 +46,7 @@ NEGATIONS = frozenset("not never isnt arent wasnt nobody neither nor kein keine
 REPORTS = frozenset("said says say called calls wrote writes claimed claims quoted quote allegedly shouted sagte nannte schrieb dit disait appelé dijo llamó escribió".split())
 READINGS = ("plain", "aimed", "negated", "reported", "threat")
 PRIOR = np.array([-3.5, 2.0, 2.4, 0.5, 0.6, 2.4])
-_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
 
@@ -59,7 +59,7 @@ class Model:
 
     def __post_init__(self):
         self._lengths = sorted({len(s) for s in self.stems}, reverse=True)
-        self._memo: dict[bytes, float] = {}
+        self._memo: dict[bytes | str, float] = {}
 
     def insult(self, word: str) -> float:
         got = self.words.get(word, 0.0)
@@ -67,12 +67,12 @@ class Model:
             got = max(got, self.stems.get(word[:n], 0.0)) if len(word) >= n else got
         return got
 
-    def _cue(self, raw: bytes) -> float:
+    def _cue(self, raw: bytes | str) -> float:
         got = self._memo.get(raw)
         if got is None:
             if len(self._memo) > 400_000:
                 self._memo.clear()
-            word = raw.decode()
+            word = raw if isinstance(raw, str) else raw.decode()
             got = self._memo[raw] = max(self.insult(word), 1.0 if word in THREATS else 0.0)
         return got
 
@@ -81,7 +81,9 @@ class Model:
         if not text:
             return None
         low = text.lower()
-        if not any(map(self._cue, set(low.encode().translate(_LETTERS).split()))):
+        # the words of the grammar; in ASCII a table parts them alike
+        words = set(low.encode().translate(_LETTERS).split() if low.isascii() else _TOKEN.findall(low))
+        if not any(map(self._cue, words)):
             return None
         total = np.zeros(len(READINGS))
         for clause in _CLAUSE.split(low):

@@ -63,3 +63,27 @@ def test_held_out_labels_are_never_read(spark):
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert T.score(docs, T.train(docs, labels)).count() == 0
+
+
+@pytest.mark.parametrize("insult", ["“idiot”", "idiot—", "idiot…", "«idiot»", "idiot’s", "—idiot–", "‘idiot’", "idiot\u00a0", "_idiot_", "idiot\u2028", "crétin»"])
+def test_typographic_signs_do_not_hide_a_cue(insult):
+    assert MODEL.evidence(f"You {insult} there.") is not None
+    assert MODEL.score(f"You {insult} and {insult}, you are {insult}") >= T.THRESHOLD
+    assert MODEL.evidence(f"I will “kill” you {insult}")[T.READINGS.index("threat")] > 0
+
+
+def test_gate_agrees_with_the_grammar():
+    rng = random.Random(6)
+    bits = ["you", "idiot", "kill", "will", "grolm", "crétin", "é", "—", "…", "“", "”", "«", "»", "’", "\u0301", "_", "4", "²", " ", " ", ".", "İ", "ſ", "K"]
+    model = T.Model({**T.SEEDS, "crétin": 4.0}, {"grol": 2.0})
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        total = [0.0] * len(T.READINGS)
+        for clause in T._CLAUSE.split(text.lower()):
+            for reading, weight in model.read(T._TOKEN.findall(clause)):
+                total[reading] += weight
+        got = model.evidence(text)
+        assert (got is None and not any(total)) or (got is not None and got.tolist() == total)
+        hits += got is not None
+    assert 100 < hits < 19_900
