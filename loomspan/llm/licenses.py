@@ -59,7 +59,7 @@ class Scanner:
 
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
         self.notices = [(label, weight, phrase, errors(len(phrase))) for label, weight, phrase in notices]
-        self.match = [regex.compile(f"(?b)(?:{regex.escape(p)}){{e<={k}}}") for _, _, p, k in self.notices]
+        self.match = [[regex.compile(f"(?:{regex.escape(p)}){{e<={e}}}") for e in range(k + 1)] for _, _, p, k in self.notices]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list] = {}
         for i, (_, _, phrase, k) in enumerate(self.notices):
@@ -82,29 +82,31 @@ class Scanner:
     def fuzzy(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) in ``norm``, words joined by one space; of a notice's
         overlapping candidates the one with fewest edits, then the first."""
-        windows: dict[int, list[list[int]]] = {}
+        places: dict[int, list[tuple[int, int]]] = {}
         for end, (n, where) in self.seeds.iter(norm):
             for i, offset in where:
                 _, _, phrase, k = self.notices[i]
-                lo = max(0, end + 1 - n - offset - k)
-                hi = min(len(norm), end + 1 - n - offset + len(phrase) + k)
-                own = windows.setdefault(i, [])
-                if own and lo <= own[-1][1] and own[-1][1] - own[-1][0] < 4 * len(phrase):
-                    own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
-                else:
-                    own.append([lo, hi])
+                at = end + 1 - n - offset
+                places.setdefault(i, []).append((max(0, at - k), min(len(norm), at + len(phrase) + k)))
         out = []
-        for i, own in windows.items():
-            got = []
-            for lo, hi in own:
-                while lo < hi and (m := self.match[i].search(norm, lo, hi)):
-                    got.append((sum(m.fuzzy_counts), m.start(), m.end()))
-                    lo = max(m.end(), m.start() + 1)
-            taken: list[tuple[int, int]] = []
-            for edits, a, b in sorted(got):
-                if b > a and all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append((a, b, i, edits))
+        for i, own in places.items():
+            _, _, phrase, k = self.notices[i]
+            free: list[tuple[int, int]] = []
+            for lo, hi in sorted(own):
+                if free and lo <= free[-1][1]:
+                    free[-1] = (free[-1][0], max(hi, free[-1][1]))
+                else:
+                    free.append((lo, hi))
+            # what has fewer edits is taken first, so a match of a round has all that it allows
+            for e in range(k + 1):
+                rest = []
+                for lo, hi in free:
+                    while hi - lo >= len(phrase) - e and (m := self.match[i][e].search(norm, lo, hi)):
+                        out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                        rest.append((lo, m.start()))
+                        lo = m.end()
+                    rest.append((lo, hi))
+                free = [(lo, hi) for lo, hi in rest if hi - lo >= len(phrase) - k]
         return sorted(out)
 
     def scan(self, data: bytes | None) -> tuple:

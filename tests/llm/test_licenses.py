@@ -77,3 +77,36 @@ def test_span_is_in_the_source():
     out = X.Scanner().scan(text.encode())[-1]
     label, a, b, edits = out.split(":")
     assert (label, edits) == ("apache-2.0", "1") and text[int(a) : int(b)] == "Licensed under the Apche License, Version 2.0"
+
+
+def test_a_garbled_notice_before_a_better_one():
+    norm = " a genral public license and general public license b "
+    i = next(i for i, n in enumerate(X.NOTICES) if n[2] == "general public license")
+    assert [(norm[a:b].strip(), e) for a, b, n, e in X.Scanner().fuzzy(norm) if n == i] == [("genral public license", 1), ("general public license", 0)]
+    assert len(X.Scanner().scan(b"All right reserved. All rights reserved. Al rights reserved.")[-1].split(",")) == 3
+
+
+def test_spans_against_brute_force():
+    rng = random.Random(11)
+    scanner = X.Scanner()
+    repeated = 0
+    for _ in range(250):
+        p = rng.choice([n[2] for n in X.NOTICES])
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += [garble(rng, p, rng.choice([0, 1, 1, 2, 3, 5])), *rng.choice([[], ["and"], ["some other words"], [p[: len(p) // 2]]])]
+        norm = " " + " ".join(" ".join(parts).split()) + " "
+        found = scanner.fuzzy(norm)
+        for i, (_, _, phrase) in enumerate(X.NOTICES):
+            most = X.errors(len(phrase))
+            own = [(a, b, e) for a, b, n, e in found if n == i]
+            repeated += len(own) > 1
+            least = least_edits(phrase, norm)
+            assert min((e for _, _, e in own), default=None) == (least if least <= most else None)
+            pos = 0
+            for a, b, e in [*own, (len(norm), len(norm), 0)]:
+                # spans are apart, none is left between them, and edits are the least of their span
+                assert pos <= a and (a - pos < len(phrase) - most or least_edits(phrase, norm[pos:a]) > most)
+                assert a == b or least_edits(phrase, norm[a:b]) == e
+                pos = b
+    assert repeated > 100
