@@ -72,9 +72,10 @@ class Scanner:
     def base_places(self, norm: bytes) -> tuple[list[int], set[str]]:
         starts, labels = [], set()
         for phrase, label in self.base:
-            at = norm.find(phrase)
+            at, word, known = norm.find(phrase), 0, 0
             while at >= 0:
-                starts.append(norm.count(b" ", 0, at))
+                word, known = word + norm.count(b" ", known, at), at  # only what lies since the last place
+                starts.append(word)
                 labels.add(label)
                 at = norm.find(phrase, at + 1)
         return starts, labels
@@ -148,3 +149,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)]], names=[id_col, *[f for f, _ in fields]])
 
     return docs.select(docs[id_col], docs[text_col].cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices string")
+
+
+def _sql_places(phrase: str) -> str:
+    parts = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(parts))
+    return f"list_filter(range(1, greatest(len(w) - {len(parts) - 2}, 1)), lambda i: {same})"
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL_LABELS = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in sorted(enumerate(BASE.values()), key=lambda x: x[1]))
+#: DuckDB SQL for the base columns.
+BASE_ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents
+), f AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{_sql_places(p)} AS p{k}" for k, p in enumerate(BASE))} FROM d
+), g AS (SELECT *, list_sort({" || ".join(f"p{k}" for k in range(len(BASE)))}) AS a FROM f)
+SELECT doc_id, n_words, len(a) AS n_base, a[1] - 1 AS first_word, a[-1] - 1 AS last_word, concat_ws(',', {_SQL_LABELS}) AS base_labels FROM g
+"""

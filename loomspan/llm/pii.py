@@ -8,7 +8,11 @@ detected in the rewritten text and their spans mapped back. A mapped span is add
 lies within a base span of its kind; base spans always stay.
 
 Disguises are rewritten only where they can be meant: at least four spelled or mixed digits in
-a row, and an at-word only where a dot-word and a top-level domain follow it.
+a row, and an at-word only where a dot-word and a top-level domain follow it. Bounds of what is
+looked for: a disguised address has labels of at most 64 characters, at most 17 before the at and
+16 behind it, before a top-level domain of 2 to 12 letters; letters that pass for digits are read
+in runs of at most 41 digits or such letters, more than twice what any identifier holds. Every
+transducer reads a text in time linear in its length.
 
 Rows: null texts count as empty and have no spans. Spans are in code points of the source, end
 exclusive. Ids may be null or repeat. Only the named columns are read.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,28 +114,35 @@ DIGIT_WORDS = {
 _LEAST_DIGITS = 4
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|chez|bei|ät|@)", r"(?:dot|punkt|point|punto|\.)"
-_AT = rf"(?:\s*{_OPEN}{_AT_WORD}{_CLOSE}\s*|\s+(?:at|arroba|arobase)\s+|\s*@\s*|[_-]at[_-])"
-_DOT = rf"(?:\s*{_OPEN}{_DOT_WORD}{_CLOSE}\s*|\s+(?:dot|punkt|punto|point)\s+|\.|[_-]dot[_-])"
-_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9%+-][A-Za-z0-9_%+-]{{0,63}}?(?:{_DOT}[A-Za-z0-9_%+-]{{1,63}}?){{0,6}}?)({_AT})((?:[A-Za-z0-9-]{{1,63}}?{_DOT}){{1,6}})((?!(?:dot|at|punkt|punto|point)\b)[A-Za-z]{{2,12}})(?![A-Za-z0-9])")
+_AT = rf"(?:\s*+{_OPEN}{_AT_WORD}{_CLOSE}\s*+|\s++(?:at|arroba|arobase)\s++|\s*+@\s*+|[_-]at[_-])"
+_DOT = rf"(?:\s*+{_OPEN}{_DOT_WORD}{_CLOSE}\s*+|\s++(?:dot|punkt|punto|point)\s++|\.|[_-]dot[_-])"
+#: Characters of a label and labels on either side of the at, as the standards of mail and names
+#: bound them or go well beyond what is in use; a part is never split again once it is read.
+_MOST_CHARS, _MOST_LABELS = 64, 16
+_LABEL = rf"(?>[A-Za-z0-9_%+-]{{1,{_MOST_CHARS}}}?(?={_DOT}|{_AT}))"
+_NAME = rf"(?>[A-Za-z0-9-]{{1,{_MOST_CHARS}}}?{_DOT})"
+_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])((?!_){_LABEL}(?:{_DOT}{_LABEL}){{0,{_MOST_LABELS}}}+)({_AT})({_NAME}{{1,{_MOST_LABELS}}})((?!(?:dot|at|punkt|punto|point)\b)[A-Za-z]{{2,12}})(?![A-Za-z0-9])")
 _DOT_RE = re.compile(rf"(?i){_DOT}")
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_TOKEN = rf"(?:(?:plus|double|triple)\b|(?:{_DIGIT_WORD})\b|[0-9]+)"
-_SEP = r"(?:[\s]*[-.,/()·]?[\s]*)"
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:\+\s?|\()?{_TOKEN}(?:{_SEP}(?:(?:dot|point|punkt|punto|dash|hyphen|{_OPEN}(?:dot|\.){_CLOSE}){_SEP})?{_TOKEN})+(?![^\W_])")
-_INNER = re.compile(rf"(?i)({_DIGIT_WORD})\b|([0-9]+)|(plus)\b|(double|triple)\b|({_OPEN}(?:dot|\.){_CLOSE}|dot\b|point\b|punkt\b|punto\b)|(dash\b|hyphen\b)|(.)", re.S)
+_SPOKEN_DOT = rf"(?:dot|point|punkt|punto|dash|hyphen|{_OPEN}(?:dot|\.){_CLOSE})"
+#: A spelled digit or sign word, written digits, or a spelled dot or dash.
+_TOKENS = re.compile(rf"(?i)((?:plus|double|triple|{_DIGIT_WORD})\b)|([0-9]++)|({_SPOKEN_DOT})")
+_SIGNS = "-.,/()·"
+_INNER = re.compile(rf"(?i)({_DIGIT_WORD})\b|([0-9]++)|(plus)\b|(double|triple)\b|({_OPEN}(?:dot|\.){_CLOSE}|dot\b|point\b|punkt\b|punto\b)|(dash\b|hyphen\b)|(.)", re.S)
 _SPACED_DOT = r"(?:\s(?:dot|punkt|punto|point)\s|[_-]dot[_-])"
 #: Every at-form of _AT but a plain @; with one, every dot-form that must follow a bare at-word.
-_TRIGGER = re.compile(rf"(?i){_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}|[_-]at[_-]|\s@|@\s|\s(?:at|arroba|arobase)\s+[A-Za-z0-9-]+(?:\.|\s+(?:dot|punkt|punto|point)\s|[_-]dot[_-])")
+_TRIGGER = re.compile(rf"(?i){_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_CLOSE}|[_-]at[_-]|\s@|@\s|\s(?:at|arroba|arobase)\s+[A-Za-z0-9-]++(?:\.|\s++(?:dot|punkt|punto|point)\s)|\s(?:at|arroba|arobase)\s+[A-Za-z0-9-]*?[_-]dot[_-]")
 _DOT_TRIGGER = re.compile(rf"(?i){_SPACED_DOT}")
-#: Written digits around a spelled dot or dash: what _SPELLED takes without any word of _TOKEN.
-_DIGIT_TRIGGER = re.compile(rf"(?i)[0-9]{_SEP}(?:dot|point|punkt|punto|dash|hyphen|{_OPEN}(?:dot|\.){_CLOSE}){_SEP}[0-9]")
+#: Written digits around a spelled dot or dash: runs without any word of digits.
+_GAP = rf"\s*+(?:[{re.escape(_SIGNS)}]\s*+)?"
+_DIGIT_TRIGGER = re.compile(rf"(?i)[0-9]{_GAP}{_SPOKEN_DOT}{_GAP}[0-9]")
 _GLYPH = re.compile("[" + "".join(map(re.escape, sorted(GLYPHS))) + "]")
 
 
 #: Runs of ASCII letters, lower-cased; every other byte parts them.
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 _SPOKEN = ["plus", "double", "triple", *DIGIT_WORDS]
-#: The last such run of every word of _TOKEN, alone or right behind a spelled dot or dash.
+#: The last such run of every word of _TOKENS, alone or right behind a spelled dot or dash.
 _DIGIT_KEYS = frozenset((dot + w).encode().translate(_PARTS).split()[-1] for w in _SPOKEN for dot in ("", "dot", "point", "punkt", "punto", "dash", "hyphen"))
 _LATIN_GLYPHS = [c for c in GLYPHS if c < "\u0100"]
 
@@ -196,13 +208,49 @@ def plain_glyphs(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), [(GLYPHS[m[0]], m.start(), m.end())] if GLYPHS[m[0]] else []) for m in _GLYPH.finditer(tape.text)])
 
 
+def _joins(gap: str) -> bool:
+    """Whether what stands between two tokens keeps them in one run: blanks and at most one sign."""
+    gap = gap.strip()
+    return not gap or len(gap) == 1 and gap in _SIGNS
+
+
+def digit_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of runs of at least two spelled or written digits, linear in the text: one scan
+    for tokens, then one walk that chains those whose gaps join them."""
+    chain: list[tuple[int, int, bool]] = []  # (start, end, is a dot or dash)
+
+    def close() -> tuple[int, int] | None:
+        while chain and (chain[-1][2] or text[chain[-1][1] : chain[-1][1] + 1].isalnum()):
+            chain.pop()
+        if sum(not dot for *_, dot in chain) < 2:
+            return None
+        a = chain[0][0]
+        # a plus (with a blank behind it, or none) or an opening bracket belongs to the run
+        lead = next((k for k in (1, 2) if a >= k and text[a - k] == "+" and (k == 1 or text[a - 1].isspace())), int(a > 0 and text[a - 1] == "("))
+        if lead and not text[a - lead - 1 : a - lead].isalnum():
+            a -= lead
+        return a, chain[-1][1]
+
+    for m in _TOKENS.finditer(text):
+        a, b = m.span()
+        dot = bool(m[3])
+        if chain and not (dot and chain[-1][2]) and _joins(text[chain[-1][1] : a]):
+            chain.append((a, b, dot))
+            continue
+        if found := close():
+            yield found
+        chain = [] if dot or text[a - 1 : a].isalnum() else [(a, b, dot)]
+    if found := close():
+        yield found
+
+
 def spelled_digits(tape: Tape) -> None:
     """Runs of spelled and written digits; separators inside a run stay as one space or dot."""
     edits = []
-    for m in _SPELLED.finditer(tape.text):
+    for first, last in digit_runs(tape.text):
         outs, digits, spelled, times = [], 0, 0, 1
         words: set[int] = set()  # starts and ends of digit words
-        for t in _INNER.finditer(tape.text, m.start(), m.end()):
+        for t in _INNER.finditer(tape.text, first, last):
             a, b = t.span()
             if t[1]:
                 outs.append((DIGIT_WORDS[fold(t[1])] * times, a, b))
@@ -227,15 +275,17 @@ def spelled_digits(tape: Tape) -> None:
             else:
                 outs.append((t[7], a, b))
         if spelled and digits >= _LEAST_DIGITS:
+            behind = [""] * (len(outs) + 1)  # the next output that is no blank
+            for i in reversed(range(len(outs))):
+                behind[i] = behind[i + 1] if outs[i][0] == " " else outs[i][0]
             tidy: list[tuple[str, int, int]] = []
             for i, o in enumerate(outs):
                 if o[0] == " ":  # between digits one separator at most, and none around a dot or dash
                     before = tidy[-1][0][-1] if tidy else ""
-                    after = next((x[0] for x in outs[i + 1 :] if x[0] != " "), "")
-                    if before in ("", " ", "+", ".", "-") or after[:1] in ("", ".", "-") or {o[1], o[2]} <= words:
+                    if before in ("", " ", "+", ".", "-") or behind[i][:1] in ("", ".", "-") or {o[1], o[2]} <= words:
                         continue
                 tidy.append(o)
-            edits.append((m.start(), m.end(), tidy))
+            edits.append((first, last, tidy))
     tape.rewrite(edits)
 
 
@@ -308,8 +358,10 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], list[tuple[str, int,
     base = detect(text)
     found = [(kind, a, b) for kind in KINDS for a, b in base[kind]]
     for kind, spans in disguised(text).items():
+        starts = [x for x, _ in base[kind]]
         for a, b in spans:
-            if not any(x <= a and b <= y for x, y in base[kind]):
+            at = bisect_right(starts, a) - 1  # base spans of a kind do not overlap
+            if at < 0 or base[kind][at][1] < b:
                 found.append((kind, a, b))
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -349,3 +401,30 @@ def redact(text: str | None, mask: str = "[{kind}]") -> str:
         out += [text[pos : max(a, pos)]] + [mask.format(kind=kind)] * (a >= pos)
         pos = b
     return "".join([*out, text[pos:]])
+
+
+def _sql_spans(kind: int, pattern: str, keep: str) -> str:
+    """Matches of one kind with their starts, from the pieces around them."""
+    found = f"regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS s"
+    start = "list_sum(list_transform(s[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda p: length(p))), 0)"
+    return f"SELECT doc_id, {kind} AS kind, '{KINDS[kind]}' AS name, w, a FROM (SELECT doc_id, m[i] AS w, {start} AS a FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, {found} FROM d))) WHERE {keep}"
+
+
+_SQL_DIGITS = "regexp_replace(w, '[^0-9]', '', 'g')"
+_SQL_LUHN = f"list_sum(list_transform(range(1, length({_SQL_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_SQL_DIGITS}), i, 1) AS INT) ELSE (2 * CAST(substr(reverse({_SQL_DIGITS}), i, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({_SQL_DIGITS}), i, 1) AS INT)) % 10 END)) % 10 = 0"
+_SQL_KINDS = [
+    (EMAIL.pattern, "true"),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(w, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0"),
+    (CARD.pattern, f"length({_SQL_DIGITS}) BETWEEN 12 AND 19 AND {_SQL_LUHN}"),
+    (PHONE.pattern, f"length({_SQL_DIGITS}) BETWEEN 9 AND 15"),
+]
+#: DuckDB SQL for the base columns.
+BASE_ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (
+  {" UNION ALL ".join(_sql_spans(k, p, keep) for k, (p, keep) in enumerate(_SQL_KINDS))}
+), g AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS))}, string_agg(name || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(w) AS BIGINT), ',' ORDER BY a, kind) AS said
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in KINDS)}, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""

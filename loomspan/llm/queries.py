@@ -51,5 +51,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_dup": op2_near_dup, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_topk": op8_topk, "op9_licenses": op9_licenses, "op10_html": op10_html}
-ORACLE_SQL: dict[str, str] = {"op2_near_dup": near_dup.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE, "op8_topk": topk.ORACLE}
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_dup": op2_near_dup, "op3_pii": op3_pii, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_topk": op8_topk, "op9_licenses": op9_licenses, "op10_html": op10_html, "base_pii": base_pii, "base_licenses": base_licenses}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": near_dup.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_chat": chat.ORACLE, "op8_topk": topk.ORACLE, "base_pii": pii.BASE_ORACLE, "base_licenses": licenses.BASE_ORACLE}

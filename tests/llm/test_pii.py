@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -119,3 +120,16 @@ def test_gates_refuse_only_what_the_transducers_leave():
             edited[name] += tape.text != text
             assert tape.text == text or gate(text), (name, text)
     assert min(edited.values()) > 30
+
+
+@pytest.mark.parametrize("text", ["one call " + "1" * 10_000 + "a", "7" + " " * 100_000 + "one x", "four" + " " * 100_000 + "five six seven 8", ("one " * 3 + "1" * 50 + "a ") * 2_000, "a dot " * 20_000, "a at x" + "-dot" * 20_000, "x" + "_dot_" * 20_000 + "@", "four (" * 20_000, "+ four " * 20_000, "four dot dot " * 10_000, "a" * 100_000 + " at b dot com", "a." * 50_000 + "@b dot com", "x" + " " * 100_000 + "@" + " " * 100_000 + "y dot com", "(" + " " * 100_000 + "dot one", "1 l " * 30_000, "9" * 100_000 + "one" + " " * 100_000 + "x"])
+def test_long_texts_take_linear_time(text):
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 1
+
+
+def test_runs_of_digits_beside_letters_are_no_runs():
+    assert [*pii.digit_runs("one call 1111a")] == [] and [*pii.digit_runs("four 5a")] == []
+    assert [*pii.digit_runs("four 5 6a")] == [(0, 6)] and [*pii.digit_runs("xone two")] == []
+    assert [*pii.digit_runs("4four dot 5 dot")] == [(0, 11)] and [*pii.digit_runs("(four five) six, + 7 8")] == [(0, 15), (17, 22)]

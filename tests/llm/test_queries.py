@@ -23,3 +23,11 @@ def test_query(spark, name):
     assert sorted(order) == names
     got = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
     assert got == sorted((tuple(dict(zip(order, r, strict=True))[c] for c in names) for r in found.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_query_without_sql_has_a_row_for_each_row(spark, name):
+    rows = spark.read.parquet(f"{SF}/{'pages' if name == 'op10_html' else 'documents'}.parquet")
+    got = queries.QUERIES[name](spark, SF)
+    key = got.columns[0]
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
