@@ -1,7 +1,8 @@
 """Sessions and shared storage.
 
 Everything that must outlive an executor goes to the folder a cluster names in
-``spark.checkpoint.dir``; a private one is used only where that is unset (tests).
+``spark.checkpoint.dir``. A private folder is made only where that is unset and driver and
+executors are one process (tests); on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ def session(app: str = "loomspan", cores: int | str = "*", **conf) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a private one only if none is named."""
+    """The shared checkpoint folder of the cluster; a private one only in local mode, if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomspan-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -63,6 +67,23 @@ def release(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+class Scratch:
+    """The scratch tables of one job; what its result no longer reads goes when the job is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = materialize(df, label)
+        self.held.append((out, path))
+        return out
+
+    def release(self, *still_read: DataFrame) -> None:
+        kept = [h for h in self.held if any(h[0] is df for df in still_read)]
+        release(self.spark, *[path for df, path in self.held if not any(df is k for k, _ in kept)])
+        self.held = kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data; read by Spark alone, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
