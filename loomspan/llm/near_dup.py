@@ -1,18 +1,23 @@
 """MinHash near-dedup with circulant permutations.
 
-Two permutations make a whole signature: the first scatters shingles over ``SLOTS`` places, the
-second numbers the places, and coordinate k reads the numbering shifted by k. One shingle thus
-adds one contiguous slice of a table to all coordinates at once. ``BANDS`` bands of ``ROWS``
-coordinates propose candidates; a pair with Jaccard 0.8 shares no band with a chance below
-8 in a million, and every proposed link is confirmed on the full shingle sets.
+Two permutations make a whole signature: the first, multiplication by an odd number, permutes
+the 64-bit fingerprints of shingles, whose leading bits then name one of ``SLOTS`` places; the
+second numbers the places, and coordinate k reads the numbering circularly shifted by k. One
+shingle thus adds one contiguous slice of a table to all coordinates at once. Sets of nearly
+``SLOTS`` shingles fill most places and become candidates of each other more often, which costs
+comparisons, never links. ``BANDS`` bands of ``ROWS`` coordinates propose candidates; a pair
+with Jaccard 0.8 shares no band with a chance below 8 in a million, and every proposed link is
+confirmed on the full shingle sets.
 
 Texts with equal sets are one node. In each bucket (texts that share a band) members are first
-held against one centre, the member with most company over all its buckets; connected texts
-need no further pairs. Buckets that still hold more than one component are finished exactly:
-pairs of different components are listed where bucket and components are small. Where a bucket
-holds part of a large component, its other members become that component's visitors, and
-visitors are compared with the whole component and with each other in tiles, a block of texts
-by a block of texts at once; so no group's pairs are ever emitted as rows.
+held against one centre, the member with most company over all its buckets, which gives each
+member's exact Jaccard distance to it; connected texts need no further pairs. Buckets that still
+hold more than one component are finished exactly. Jaccard distance is a metric, so two members
+whose distances to the centre differ by more than a link allows cannot be linked and are not
+compared. Pairs of different components are listed where bucket and components are small. Where
+a bucket holds part of a large component, its other members become that component's visitors;
+they are compared with the members of it that share such a bucket, and with each other, in
+tiles, a block of texts by a block of texts at once; so no group's pairs are ever emitted as rows.
 
 Rows: a text without words has an empty set and no links. A null id is linked with nothing: its
 component is null and the row is kept. Rows that share an id are one document: a link of one is
@@ -31,14 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import materialize
+from loomspan.session import Scratch
 
 #: Words in a shingle and percent of similarity, where nothing else is asked for.
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 64, 8
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 #: Texts and bytes of one side of a tile; larger components and buckets are compared in tiles.
 BLOCK, BLOCK_BYTES = 128, 8_000_000
+#: Shared shingles of a tile that are counted at once.
+COLUMNS = 1 << 14
+#: Rows of one key that a join of edges takes in one piece, and keys at most that have more.
+HOT_ROWS, HOT_KEYS = 1000, 20_000
+#: Rounding of distances.
+EPSILON = 1e-9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANKS = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _MIX = np.random.default_rng(8).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,7 +85,7 @@ def numbering() -> np.ndarray:
 def signature(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     """All coordinates of a non-empty set."""
     slices = np.lib.stride_tricks.sliding_window_view(table, BANDS * ROWS)
-    at = ((s * _MIX[60]) >> np.uint64(44)).astype(np.int64)  # the first permutation
+    at = ((s * _MIX[60]) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)  # the first permutation
     out = slices[at[:128]].min(axis=0)
     for lo in range(128, len(at), 128):
         np.minimum(out, slices[at[lo : lo + 128]].min(axis=0), out=out)
@@ -115,7 +126,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (a, b) with texts (node, text): (a, b, linked), on the full sets."""
+    """Of (a, b) with texts (node, text): (a, b, linked, far), on the full sets; ``far`` is the
+    Jaccard distance."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,20 +147,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                linked = []
+                linked, far = [], []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     a, b = of(x), shingles(y, width)
-                    both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-                    linked.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    either = len(a) + len(b) - both
+                    linked.append(bool(both) and 100 * both >= percent * either)
+                    far.append(1 - both / max(1, either))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "linked", "far"])
 
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, linked boolean, far double")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one, in memory that
+    ``COLUMNS`` bounds beside the sets themselves."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    at = [[np.searchsorted(shared, np.intersect1d(x, shared, assume_unique=True)) for x in side] for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, len(shared), COLUMNS):
+        n = min(COLUMNS, len(shared) - lo)
+        held = []
+        for side in at:
+            m = np.zeros((len(side), n), np.float32)
+            for i, places in enumerate(side):
+                a, b = np.searchsorted(places, (lo, lo + n))
+                m[i, places[a:b] - lo] = 1
+            held.append(m)
+        out += np.rint(held[0] @ held[1].T).astype(np.int64)
+    return out
 
 
-def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of a group's visitors among themselves and to the group's own members; both
     are (g, node, component), texts are (node, text). A group is cut into tiles of at most about
     ``BLOCK`` by ``BLOCK`` texts and ``BLOCK_BYTES`` a side, each compared at once; of a
@@ -156,11 +189,10 @@ def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int,
     kind = texts.schema["node"].dataType.simpleString()
     text = texts.select(F.col("node").alias("__node"), "text")
     with_text = lambda df: df.join(text, df["node"] == text["__node"]).drop("__node")
-    left, _ = materialize(with_text(visitors), "tile-visitors")
-    right = left.unionByName(with_text(inside))
-    right, _ = materialize(right, "tile-members")
+    left = scratch.table(with_text(visitors), "tile-visitors")
+    right = scratch.table(left.unionByName(with_text(inside)), "tile-members")
     cut = lambda df, name: df.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias(name))
-    counts, _ = materialize(cut(left, "n_left").join(cut(right, "n_right"), "g"), "tile-counts")
+    counts = scratch.table(cut(left, "n_left").join(cut(right, "n_right"), "g"), "tile-counts")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     l = left.join(counts, "g").select("g", place("n_left").alias("i"), every("n_right").alias("j"), F.lit(True).alias("visits"), "node", "component", "text")
@@ -171,16 +203,9 @@ def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int,
         sets = [[shingles(bytes(t), width) for t in side["text"]] for side in sides]
         found = []
         if all(map(len, sets)):
-            both = np.intersect1d(*[np.concatenate(s) for s in sets])
-            held = []
-            for s in sets:
-                m = np.zeros((len(s), len(both)), np.float32)
-                for i, x in enumerate(s):
-                    m[i, np.searchsorted(both, np.intersect1d(x, both, assume_unique=True))] = 1
-                held.append(m)
-            common = np.rint(held[0] @ held[1].T).astype(np.int64)
+            both = common(*sets)
             a, b = (np.array([len(x) for x in s], np.int64) for s in sets)
-            linked = (common > 0) & (100 * common >= percent * (a[:, None] + b[None, :] - common))
+            linked = (both > 0) & (100 * both >= percent * (a[:, None] + b[None, :] - both))
             nodes, groups = [s["node"].to_list() for s in sides], [s["component"].to_list() for s in sides]
             for i in range(len(nodes[0])):
                 seen = {groups[0][i]}
@@ -193,82 +218,112 @@ def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int,
     return l.unionByName(r).groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, least: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` (u, v) joined with ``least`` (u, ...) on u. A key of ``hot`` (u, parts) is dealt
+    over that many parts, so that no key's rows meet in one task."""
+    if hot is None:
+        return rows.join(least, "u")
+    parted = lambda df: df.join(F.broadcast(hot), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    l = parted(rows).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+    r = parted(least).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return l.join(r, ["u", "part"]).drop("part")
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Of (a, b): (node, component), the least node that a node reaches; the least has no row.
 
     Large and small stars in turn: every node is hung to the least node it sees, its greater
-    neighbours first, then its smaller ones, until all trees are stars."""
+    neighbours first, then its smaller ones, until all trees are stars. The centre of a star has
+    as many edges as the star has nodes: nodes of more than a fair share of the edges, at most
+    ``HOT_KEYS``, have theirs dealt over several tasks."""
+    scratch = scratch or Scratch(edges.sparkSession)
     state = None
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    total = e.count()
     while True:
+        most = max(HOT_ROWS, -(-2 * total // HOT_KEYS))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        seen = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "degrees")
+        hot = seen.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("parts"))  # at most 2 * total / most rows
+        hot = None if hot.isEmpty() else hot
+        least = seen.select("u", F.least("u", "m").alias("m"))
+        large = _spread(both, least, hot).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e, _ = materialize(small, "stars")
+        small = _spread(large, down, hot).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        e = scratch.table(small, "stars")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
-        state = tuple(now)
+        state, total = tuple(now), now[0]
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document row: id, n_shingles, component_id, kept."""
+    scratch = Scratch(docs.sparkSession)
+    table = scratch.table
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    sketched, _ = materialize(sketch(rows, width), "sketches")
+    sketched = table(sketch(rows, width), "sketches")
     full = sketched.where("digest is not null and id is not null")
-    nodes, _ = materialize(full.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    mine, _ = materialize(sketched.select("id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node")), "documents-by-set")
+    nodes = table(full.groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    mine = table(sketched.select("id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node")), "documents-by-set")
     # ids in more than one class of equal sets
     split = mine.where("id is not null").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     links = mine.join(split, "id").select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared, _ = materialize(shared, "shared-bands")
-    members, _ = materialize(buckets.join(shared, "key"), "bucket-members")
+    shared = table(shared, "shared-bands")
+    members = table(buckets.join(shared, "key"), "bucket-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members, _ = materialize(members.join(company, "node").select("key", "node", "company"), "bucket-company")
+    members = table(members.join(company, "node").select("key", "node", "company"), "bucket-company")
     wanted = company.select("node")
     texts = rows.where("id is not null").join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("id").alias("node"), "text")
-    texts, _ = materialize(texts.distinct(), "candidate-texts")
+    texts = table(texts.distinct(), "candidate-texts")
 
     # each bucket's member with most company against the others
     heads = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x")).select("key", F.col("x.node").alias("a"))
-    heads, _ = materialize(heads, "bucket-heads")
-    pairs, _ = materialize(members.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
-    tested, _ = materialize(confirm(pairs, texts, width, percent), "confirmed-pairs")
+    heads = table(heads, "bucket-heads")
+    pairs = table(members.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
+    tested = table(confirm(pairs, texts, width, percent), "confirmed-pairs")
     sure = tested.where("linked").select("a", "b").unionByName(links)
-    state, _ = materialize(components(sure), "components")
+    state = table(components(sure, scratch), "components")
 
     # buckets that hold more than one component
-    labelled, _ = materialize(members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
+    labelled = table(members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
     sizes = state.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
-    sizes, _ = materialize(sizes.where(F.col("size") > BLOCK), "large-components")
+    sizes = table(sizes.where(F.col("size") > BLOCK), "large-components")
     keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("key", "held")
-    keys, _ = materialize(keys, "open-keys")
+    keys = table(keys, "open-keys")
     if not keys.isEmpty():
-        open_, _ = materialize(labelled.join(keys, "key"), "open-buckets")
+        reach = 1 - percent / 100 + EPSILON  # a link's distance at most
+        far = tested.select("a", F.col("b").alias("node"), "far")
+        open_ = labelled.join(keys, "key").join(heads, "key").join(far, ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+        open_ = table(open_.select("key", "node", "component", "held", "far"), "open-buckets")
         large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("hub"))
-        large, _ = materialize(large, "open-hubs")
+        large = table(large, "open-hubs")
         # a bucket's group: the hub it holds, or the bucket if it is large itself
-        dealt, _ = materialize(open_.join(large, "key", "left"), "open-groups")
-        small = dealt.where(F.col("hub").isNull() & (F.col("held") <= BLOCK)).select("key", "node", "component")
-        other = small.select("key", F.col("node").alias("other"), F.col("component").alias("rival"))
-        rest = small.join(other, "key").where("node < other and component <> rival").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+        dealt = table(open_.join(large, "key", "left"), "open-groups")
+        small = dealt.where(F.col("hub").isNull() & (F.col("held") <= BLOCK)).select("key", "node", "component", "far")
+        other = small.select("key", F.col("node").alias("other"), F.col("component").alias("rival"), F.col("far").alias("off"))
+        rest = small.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("rival")) & (F.abs(F.col("far") - F.col("off")) <= reach)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
         done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        listed, _ = materialize(rest.join(done, ["a", "b"], "left_anti"), "candidate-pairs")
-        answers, _ = materialize(confirm(listed, texts, width, percent).where("linked").select("a", "b"), "confirmed-pairs")
-        by_hub = dealt.where("hub is not null and component <> hub").select(F.concat(F.lit("c"), F.col("hub").cast("string")).alias("g"), "node", "component").distinct()
+        listed = table(rest.join(done, ["a", "b"], "left_anti"), "candidate-pairs")
+        answers = table(confirm(listed, texts, width, percent).where("linked").select("a", "b"), "confirmed-pairs")
+        # of a bucket's hub and its visitors, those that the distances to the head let meet
+        visits = F.col("component") != F.col("hub")
+        bounds = dealt.where("hub is not null").groupBy("key").agg(*[f(F.when(who, F.col("far"))).alias(name) for name, f, who in (("lo_visit", F.min, visits), ("hi_visit", F.max, visits), ("lo_hub", F.min, ~visits), ("hi_hub", F.max, ~visits))])
+        meeting = dealt.where("hub is not null").join(bounds, "key")
+        hub_near = ~visits & F.col("far").between(F.col("lo_visit") - reach, F.col("hi_visit") + reach)
+        group = F.concat(F.lit("c"), F.col("hub").cast("string")).alias("g")
+        inside = meeting.where(hub_near).select(group, "node", "component").distinct()
+        # visitors meet each other too: all that share the bucket stay
+        by_hub = meeting.where(visits).select(group, "node", "component").distinct()
         by_key = dealt.where(F.col("hub").isNull() & (F.col("held") > BLOCK)).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
-        visitors, _ = materialize(by_hub.unionByName(by_key), "visitors")
-        hubs = dealt.where("hub is not null").select("hub").distinct()
-        whole = state.unionByName(state.select(F.col("component").alias("node"), "component").distinct())
-        inside = whole.join(hubs.withColumnRenamed("hub", "component"), "component").select(F.concat(F.lit("c"), F.col("component").cast("string")).alias("g"), "node", "component")
-        met, _ = materialize(tiles(visitors, inside, texts, width, percent), "tile-links")
-        state, _ = materialize(components(sure.unionByName(answers).unionByName(met)), "components")
+        visitors = table(by_hub.unionByName(by_key), "visitors")
+        met = table(tiles(visitors, inside, texts, width, percent, scratch), "tile-links")
+        state = table(components(sure.unionByName(answers).unionByName(met), scratch), "components")
+    scratch.release(mine, state)
     label = F.coalesce("component", "node")
     return mine.join(state, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
 

@@ -108,3 +108,46 @@ def test_coordinates_agree_as_often_as_the_sets():
             j = len(np.intersect1d(a, b)) / 400
             agree.append((N.signature(a, table) == N.signature(b, table)).mean() - j)
         assert abs(np.mean(agree)) < 0.02
+
+
+def test_hot_nodes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_ROWS", 3)
+    test_components(spark)
+
+
+def test_common_counts_by_columns(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "COLUMNS", 5)
+    rng = np.random.default_rng(3)
+    sides = [[np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 50)] for _ in range(2)]
+    assert N.common(*sides).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sides[1]] for a in sides[0]]
+
+
+def test_scratch_goes_but_what_the_result_reads(spark):
+    import os
+
+    held = lambda: set(os.listdir(f"{spark.conf.get('spark.checkpoint.dir')}/loomspan"))
+    rows = corpus(6, 12)
+    N.components(spark.createDataFrame([(1, 2)], "a long, b long"))
+    before = held()
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert {d.rsplit("-", 1)[0] for d in held() - before} == {"documents-by-set", "components"}
+    assert got.count() == len(rows)
+
+
+@pytest.mark.parametrize("words", [60, 200])
+def test_near_copies_are_found(spark, words):
+    """Copies with up to one word in 25 changed: at most 2 of 25 shingles of two words differ."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, copies = [], set()
+    for i in range(200):
+        base = [word() for _ in range(words)]
+        rows.append((2 * i, " ".join(base)))
+        for at in rng.sample(range(words), rng.randint(1, words // 25)):
+            base[at] = word()
+        rows.append((2 * i + 1, " ".join(base)))
+        copies.add(2 * i + 1)
+    got = {r.doc_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect() if not r.kept}
+    assert got <= copies and len(got) >= 0.98 * len(copies)

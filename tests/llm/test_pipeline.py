@@ -51,7 +51,7 @@ def test_against_plain_stages(spark):
     model = toxicity.train(read("documents"), read("labels"))
     docs = [(i, t) for i, t in docs if model.score(t) < toxicity.THRESHOLD]
     docs = plain_lines(docs)
-    kept = {int(r[0]) for r in groups(docs, 5) if r[3]}
+    kept = {int(r[0]) for r in groups(docs, 2) if r[3]}
     docs = [(i, t) for i, t in docs if i in kept]
     bench = [(r.item_id, split(r.text)) for r in read("benchmark").collect() if split(r.text)]
     docs = [(i, t) for i, t in docs if not leaks(t, bench)]
