@@ -218,15 +218,23 @@ def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int,
     return l.unionByName(r).groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
-def _spread(rows: DataFrame, least: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``rows`` (u, v) joined with ``least`` (u, ...) on u. A key of ``hot`` (u, parts) is dealt
-    over that many parts, so that no key's rows meet in one task."""
+def _spread(rows: DataFrame, other: DataFrame, hot: DataFrame | None, key: str = "u", deal: str = "v", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, a row per key, on the key. A key of ``hot`` (key, parts)
+    is dealt over that many parts by the column ``deal``, so that no key's rows meet in one task."""
     if hot is None:
-        return rows.join(least, "u")
-    parted = lambda df: df.join(F.broadcast(hot), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    l = parted(rows).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
-    r = parted(least).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return l.join(r, ["u", "part"]).drop("part")
+        return rows.join(other, key, how)
+    parted = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    l = parted(rows).withColumn("part", F.pmod(F.xxhash64(deal), F.col("parts")).cast("int")).drop("parts")
+    r = parted(other).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return l.join(r, [key, "part"], how).drop("part")
+
+
+def _hot(counted: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """Of (key, n), ``total`` rows in all: (key, parts) of keys with more than a fair share, at
+    most ``HOT_KEYS``; None for no such key."""
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = counted.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
+    return None if hot.isEmpty() else hot
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -241,11 +249,9 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     total = e.count()
     while True:
-        most = max(HOT_ROWS, -(-2 * total // HOT_KEYS))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         seen = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "degrees")
-        hot = seen.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("parts"))  # at most 2 * total / most rows
-        hot = None if hot.isEmpty() else hot
+        hot = _hot(seen, "u", "n", 2 * total)
         least = seen.select("u", F.least("u", "m").alias("m"))
         large = _spread(both, least, hot).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -274,7 +280,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = table(shared, "shared-bands")
-    members = table(buckets.join(shared, "key"), "bucket-members")
+    hot = _hot(shared, "key", "size", shared.agg(F.sum("size")).first()[0] or 0)
+    by_key = lambda rows, other, how="inner": _spread(rows, other, hot, "key", "node", how)
+    members = table(by_key(buckets, shared), "bucket-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     members = table(members.join(company, "node").select("key", "node", "company"), "bucket-company")
     wanted = company.select("node")
@@ -284,7 +292,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # each bucket's member with most company against the others
     heads = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x")).select("key", F.col("x.node").alias("a"))
     heads = table(heads, "bucket-heads")
-    pairs = table(members.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
+    pairs = table(by_key(members, heads).where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
     tested = table(confirm(pairs, texts, width, percent), "confirmed-pairs")
     sure = tested.where("linked").select("a", "b").unionByName(links)
     state = table(components(sure, scratch), "components")
@@ -298,12 +306,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     if not keys.isEmpty():
         reach = 1 - percent / 100 + EPSILON  # a link's distance at most
         far = tested.select("a", F.col("b").alias("node"), "far")
-        open_ = labelled.join(keys, "key").join(heads, "key").join(far, ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+        open_ = by_key(labelled, keys.join(heads, "key")).join(far, ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
         open_ = table(open_.select("key", "node", "component", "held", "far"), "open-buckets")
         large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("hub"))
         large = table(large, "open-hubs")
         # a bucket's group: the hub it holds, or the bucket if it is large itself
-        dealt = table(open_.join(large, "key", "left"), "open-groups")
+        dealt = table(by_key(open_, large, "left"), "open-groups")
         small = dealt.where(F.col("hub").isNull() & (F.col("held") <= BLOCK)).select("key", "node", "component", "far")
         other = small.select("key", F.col("node").alias("other"), F.col("component").alias("rival"), F.col("far").alias("off"))
         rest = small.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("rival")) & (F.abs(F.col("far") - F.col("off")) <= reach)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
@@ -313,14 +321,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         # of a bucket's hub and its visitors, those that the distances to the head let meet
         visits = F.col("component") != F.col("hub")
         bounds = dealt.where("hub is not null").groupBy("key").agg(*[f(F.when(who, F.col("far"))).alias(name) for name, f, who in (("lo_visit", F.min, visits), ("hi_visit", F.max, visits), ("lo_hub", F.min, ~visits), ("hi_hub", F.max, ~visits))])
-        meeting = dealt.where("hub is not null").join(bounds, "key")
+        meeting = by_key(dealt.where("hub is not null"), bounds)
         hub_near = ~visits & F.col("far").between(F.col("lo_visit") - reach, F.col("hi_visit") + reach)
         group = F.concat(F.lit("c"), F.col("hub").cast("string")).alias("g")
         inside = meeting.where(hub_near).select(group, "node", "component").distinct()
         # visitors meet each other too: all that share the bucket stay
         by_hub = meeting.where(visits).select(group, "node", "component").distinct()
-        by_key = dealt.where(F.col("hub").isNull() & (F.col("held") > BLOCK)).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
-        visitors = table(by_hub.unionByName(by_key), "visitors")
+        by_bucket = dealt.where(F.col("hub").isNull() & (F.col("held") > BLOCK)).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
+        visitors = table(by_hub.unionByName(by_bucket), "visitors")
         met = table(tiles(visitors, inside, texts, width, percent, scratch), "tile-links")
         state = table(components(sure.unionByName(answers).unionByName(met), scratch), "components")
     scratch.release(mine, state)

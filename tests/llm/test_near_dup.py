@@ -113,6 +113,7 @@ def test_coordinates_agree_as_often_as_the_sets():
 def test_hot_nodes_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT_ROWS", 3)
     test_components(spark)
+    test_large_groups_are_finished_in_tiles(spark, monkeypatch)
 
 
 def test_common_counts_by_columns(monkeypatch):
