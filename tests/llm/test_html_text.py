@@ -43,6 +43,11 @@ TEXT = "The first paragraph of the story says a good deal, and more. A second on
         ("<article></article>", ""),
         ("<article><p>1 &lt; 2 and a &#xe9; b</article>", "1 < 2 and a é b"),
         ("<article><p>less < more <b", "less < more <b"),
+        (f"<article>{BODY}<p class='social-history'>The social history of the town is long.</p><div class='share-price'>The price of a share rose by three.</div><section id='promotion-rules'><p>Rules of promotion are old ones.</p></section></article>", TEXT + " The social history of the town is long. The price of a share rose by three. Rules of promotion are old ones."),
+        ("<article><p>One <![CDATA[two]]> three here.</p></article>", "One three here."),
+        (f"<article>{BODY}<p>A sum <math><mi>x</mi></math> of <svg><text>no</text></svg>them.</p><div><object><p>no</div><p>Last words here.</p></article>", TEXT + " A sum x of them. Last words here."),
+        (f"<article><select><option>no<option>none</select><p>Some <noscript><p>no</p></noscript>more words.</p>{BODY}</article>", "Some more words. " + TEXT),
+        (f"<div class='main-nav'>Here you find all of it.</div><div>{BODY}</div><div class='post-comments'><div class='comment-body'>I think that this is a fine story, and long.</div></div>", TEXT),
     ],
 )
 def test_pages(page, text):
@@ -60,3 +65,71 @@ def test_frame(spark):
     by = {(r.page_id, r.url, r.n_chars > 1000): r.text for r in got}
     assert by[(1, "u", False)] == TEXT == by[(5, "w", False)] and by[(2, None, False)] == "" and by[(1, "u", True)].count("story") == 20_000
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_neighbours_turn_blocks_that_are_in_doubt():
+    """A short line without signs among paragraphs is content, the same line alone is not; a
+    paragraph between menu entries of its kind goes with them."""
+    page = H.parse(f"<div>{BODY}<p>Short line</p>{BODY}</div>")
+    odds = {b.text: H.log_odds(page, b) for b in page.blocks}
+    assert odds["Short line"] < 0 and "Short line" in H.extract(f"<div>{BODY}<p>Short line</p>{BODY}</div>")
+    assert H.extract("<div><p>Short line</p></div>") == ""
+    links = "".join(f"<p><a href={i}>Some page {i}</a></p>" for i in range(3))
+    mixed = f"<div>{links}<p>And much more, to read.</p>{links}</div>"
+    page = H.parse(mixed)
+    assert max(H.log_odds(page, b) for b in page.blocks) > 0 and H.extract(mixed) == ""
+
+
+def random_page(rng, blocks):
+    """Nested elements with known and unknown names around texts of any kind."""
+    texts = ["Home", "A line of words, and a few more of them.", "Short", "© all rights reserved", "One two three four five six seven eight nine ten eleven twelve.", "<a href=x>Read more</a>"]
+    out, stack = [], []
+    for _ in range(blocks):
+        while rng.random() < 0.5 and len(stack) < 5:
+            stack.append(rng.choice(["div", "section", "ul", "article", "nav", "td"]))
+            out.append(f"<{stack[-1]}{rng.choice(['', '', ' class=ad', ' class=share-price', ' class=content', ' id=top'])}>")
+        tag = rng.choice(["p", "li", "h2"])
+        out.append(f"<{tag}>{rng.choice(texts)}</{tag}>")
+        while stack and rng.random() < 0.4:
+            out.append(f"</{stack.pop()}>")
+    return "".join(out)
+
+
+def test_whole_extraction_against_every_labelling():
+    rng, turned = random.Random(8), 0
+    for _ in range(150):
+        source = random_page(rng, rng.randint(1, 7))
+        page = H.parse(source)
+        capacity, edges = H.graph(page)
+        if len(capacity) > 15:
+            continue
+        got = H.source_side(capacity, edges)
+        costs = {s: cost(capacity, edges, s) for s in itertools.product([False, True], repeat=len(capacity))}
+        assert costs[tuple(got)] == min(costs.values())
+        assert H.extract(source) == " ".join(b.text for b, side in zip(page.blocks, got, strict=False) if side)
+        turned += any(s != (c > 0) for s, c, _ in zip(got, capacity, page.blocks, strict=False))
+    assert turned > 10
+
+
+def test_fit_learns_from_landmarks_and_stays_in_bounds(spark):
+    rows = [(i, "u", f"<nav><a href=x>All {i}</a></nav><article>{BODY}</article><footer>© us, all rights reserved</footer>", "") for i in range(40)]
+    pages = spark.createDataFrame([*rows, (None, "", "<article>null id</article>", ""), (3, "", None, "")], "page_id long, url string, html string, f string")
+    weights = H.train(pages)
+    assert weights != H.PRIOR and weights == H.train(pages.repartition(7))
+    assert all(min(p / 2, p * 2) <= w <= max(p / 2, p * 2) for w, p in zip(weights, H.PRIOR, strict=True))
+    assert H.train(pages.limit(0)) == H.PRIOR and H.extract(rows[0][2], weights) == TEXT
+
+
+def test_share_of_article_text_on_the_pages(spark):
+    """Of the test pages: whole articles and nothing else, by the article element itself."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    rows = pages.collect()
+    same = 0
+    for r in rows:
+        inner = re.search(r"(?s)<article>(.*)</article>", r.html or "")
+        plain = " ".join(H.html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(?:/?(?:p|h1|br|div)\b)[^>]*>", " ", inner[1] if inner else ""))).split())
+        same += plain == got[r.page_id]
+    assert same >= 0.99 * len(rows)
