@@ -1,19 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer tags words (insult, threat verb, target, negation, report); a grammar
-transducer reads the tags of a clause, keeps a state (negation scope, reported speech, target
-seen) and emits each insult or threat under the reading it stands in: plain, aimed at a
-target, negated, reported, or threatened. Evidence adds up by reading over matched clauses,
-never over isolated words, and a logistic layer turns it into a score.
-
-Trained on labelled rows outside the held-out third: insult words and word stems are chosen by
-a greedy cover of the toxic texts (near copies count once, cues must be pure), their weights
-are log odds, and the logistic layer is fitted with a ridge towards set priors. Training reads
-at most ``TRAIN_ROWS`` rows of either label, chosen by a hash of the id; everything else covers
-all rows. Labels, lang, source and ids are never inputs of a score.
+A lexicon tags words (insult, threat verb, modal, target, negation, report, quotation mark).
+Small transducers over these tags each add one thing to a tag: whether a target follows (read
+from the clause's end) or went before, whether a negation is in force, whether the clause is
+reported or quoted, whether a modal made threats possible. A last one gives each insult or
+threat the reading it stands in (plain, aimed, negated, reported, threat) and the arc's weight.
+:func:`compose` makes one transducer of them; a clause is scored by its one path through it, so
+words count as parts of matched clauses only. Contractions are written out before the words are
+tagged ("aren't" is "are not", "I'll" is "I will").
+
+Evidence by reading, and how dense it is in the text, goes through a logistic layer. Trained on
+labelled rows outside the held-out third: insult words and word stems are chosen by a greedy
+cover of the toxic texts (near copies count once, cues must be pure), their weights are log
+odds, and the logistic layer is fitted with a ridge towards set priors. Training reads at most
+``TRAIN_ROWS`` rows of either label, chosen by a hash of the id, of which one task takes the
+distinct words and later the evidence, never the texts; everything else covers all rows.
+Labels, lang, source and ids are never inputs of a score.
 
 Rows: null and empty texts match nothing and get the base score. Labels that are null, have no
-document or repeat (the larger counts) do no harm; with one label missing the priors stand.
+document or repeat (the larger counts) do no harm; of documents that share an id the least text
+teaches; with one label missing the priors stand.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.session import Scratch
+
 TRAIN_ROWS = 1500
 THRESHOLD = 0.7
 #: Each toxic training text is to be covered so many times; a cue must add so many texts, and
@@ -40,15 +49,129 @@ COVER, LEAST_NEW, LEAST_SHARE = 3, 4, 0.01
 STEMS = range(4, 9)
 SEEDS = dict.fromkeys("idiot idiots moron morons scum stupid loser losers pathetic worthless disgusting trash clown imbecile dumbass bastard asshole bitch retard retarded vermin scumbag idiota imbécil estúpido abschaum dummkopf trottel arschloch connard abruti crétin".split(), 4.0)
 THREATS = frozenset("kill murder hurt destroy beat strangle shoot stab burn hang töten umbringen schlagen tuer frapper matar golpear".split())
-MODALS = frozenset("will gonna shall must should 'll werde werden vais va voy deserve deserves".split())
+MODALS = frozenset("will would gonna shall must should werde werden vais va voy deserve deserves".split())
 TARGETS = frozenset("you your youre yourself u ya he she they them him her du dich dir euch ihr tu toi vous usted vosotros tú".split())
-NEGATIONS = frozenset("not never isnt arent wasnt nobody neither nor kein keine keinen niemals nie jamais aucun aucune nunca jamás".split())
+NEGATIONS = frozenset("not never isnt arent wasnt werent dont doesnt didnt wont cant nobody neither nor nicht kein keine keinen niemals nie pas jamais aucun aucune nunca jamás".split())
 REPORTS = frozenset("said says say called calls wrote writes claimed claims quoted quote allegedly shouted sagte nannte schrieb dit disait appelé dijo llamó escribió".split())
+MARKS = frozenset("\"“”«»")
 READINGS = ("plain", "aimed", "negated", "reported", "threat")
-PRIOR = np.array([-3.5, 2.0, 2.4, 0.5, 0.6, 2.4])
+#: Readings that count for how dense a text is with evidence.
+MEANT = np.array([1.0, 1.0, 0.0, 0.0, 1.0])
+#: Bias, a weight for each reading, and one for the density.
+PRIOR = np.array([-3.5, 2.0, 2.4, 0.5, 0.6, 2.4, 0.3])
 _LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
+_CONTRACTED = re.compile(r"\b(?:(wo|ca|sha)n['’ʼ]t|n?['’ʼ](?:t|ll|re|ve|[msd]))\b|(?<=[^\W\d_])(?:n['’ʼ]t|['’ʼ](?:ll|re|ve|[msd]))\b")
+_FULL = {"ll": " will", "re": " are", "ve": " have", "m": " am", "s": "", "d": " would"}
+
+
+def normal(text: str) -> str:
+    """Lower case, contractions written out."""
+    low = text.lower()
+    if "'" not in low and "’" not in low and "ʼ" not in low:
+        return low
+
+    def full(m: re.Match) -> str:
+        if m[1]:
+            return {"wo": "will", "ca": "can", "sha": "shall"}[m[1]] + " not"
+        tail = re.split("['’ʼ]", m[0])[-1]
+        return " not" if tail == "t" and m[0][0] == "n" else _FULL.get(tail, " " + tail)
+
+    return _CONTRACTED.sub(full, low)
+
+
+# --- the grammar ----------------------------------------------------------------------------
+
+OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, MARK = TAGS = range(8)
+#: Reach of a target to either side of an insult, of a threat to its target, and of a negation.
+NEAR, STRIKE, SCOPE = 4, 3, 3
+THREAT_WEIGHT = 4.0
+
+
+@dataclass
+class Transducer:
+    """States with one arc for each input symbol: (next state, output symbol, weight)."""
+
+    arcs: list[dict[Hashable, tuple[int, Hashable, float]]]
+
+    def run(self, symbols: Iterable[Hashable]) -> tuple[list[Hashable], list[float]]:
+        state, out, weights = 0, [], []
+        for s in symbols:
+            state, o, w = self.arcs[state][s]
+            out.append(o)
+            weights.append(w)
+        return out, weights
+
+    def outputs(self) -> set[Hashable]:
+        return {o for arcs in self.arcs for _, o, _ in arcs.values()}
+
+
+def machine(start: Hashable, alphabet: Iterable[Hashable], step: Callable) -> Transducer:
+    """The states that ``step`` (state, symbol) -> (state, output, weight) reaches from ``start``."""
+    alphabet, number, todo, arcs = [*alphabet], {start: 0}, [start], []
+    for state in todo:  # grows while it is read
+        own = {}
+        for symbol in alphabet:
+            after, out, weight = step(state, symbol)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            own[symbol] = (number[after], out, weight)
+        arcs.append(own)
+    return Transducer(arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that feeds the output of ``first`` to ``second``; weights multiply."""
+
+    def step(state: tuple[int, int], symbol: Hashable) -> tuple:
+        a, middle, v = first.arcs[state[0]][symbol]
+        b, out, w = second.arcs[state[1]][middle]
+        return (a, b), out, v * w
+
+    return machine((0, 0), first.arcs[0], step)
+
+
+def _away(state: int, tag: int) -> int:
+    """Steps from the last target, 0 for none within reach."""
+    return 1 if tag == TARGET else state + 1 if 0 < state < NEAR else 0
+
+
+#: Read from the clause's end: adds how far ahead a target is (0: none, 1: within a threat's
+#: reach, 2: within an insult's).
+AHEAD = machine(0, TAGS, lambda s, tag: (_away(s, tag), (tag, 0 if not s else 1 if s <= STRIKE else 2), 1.0))
+#: Adds whether a target went before within reach.
+BEHIND = machine(0, sorted(AHEAD.outputs()), lambda s, x: (_away(s, x[0]), (*x, s > 0), 1.0))
+#: Adds whether a negation is in force.
+NEGATED = machine(0, sorted(BEHIND.outputs()), lambda s, x: (SCOPE if x[0] == NEGATION else max(0, s - 1), (*x, s > 0), 1.0))
+#: Adds whether a word of report went before, and whether a quotation is open.
+REPORTED = machine((False, False), sorted(NEGATED.outputs()), lambda s, x: ((s[0] or x[0] == REPORT, s[1] != (x[0] == MARK)), (*x, *s), 1.0))
+#: Adds whether a modal went before.
+POSSIBLE = machine(False, sorted(REPORTED.outputs()), lambda s, x: (s or x[0] == MODAL, (*x, s), 1.0))
+
+
+def _reading(state: int, x: tuple) -> tuple[int, int, float]:
+    tag, ahead, behind, negated, reported, quoted, possible = x
+    if tag == INSULT:
+        near = behind or ahead > 0
+        return 0, 2 if negated else 3 if reported and (quoted or near) else int(near), 1.0
+    if tag == THREAT and possible and ahead == 1:
+        return 0, 2 if negated else 3 if reported else 4, THREAT_WEIGHT
+    return 0, -1, 0.0
+
+
+#: Gives insults and threats their reading and weight.
+READ = machine(0, sorted(POSSIBLE.outputs()), _reading)
+GRAMMAR = reduce(compose, (BEHIND, NEGATED, REPORTED, POSSIBLE, READ))
+_CLOSED = {w: tag for words, tag in ((TARGETS, TARGET), (MARKS, MARK), (MODALS, MODAL), (REPORTS, REPORT), (NEGATIONS, NEGATION)) for w in words}
+
+
+def readings(tags: list[int]) -> list[tuple[int, int, float]]:
+    """(place, reading, weight) of a clause's insults and threats."""
+    ahead, _ = AHEAD.run(reversed(tags))
+    found, weights = GRAMMAR.run(reversed(ahead))
+    return [(i, r, w) for i, (r, w) in enumerate(zip(found, weights, strict=True)) if r >= 0]
 
 
 @dataclass
@@ -59,65 +182,57 @@ class Model:
 
     def __post_init__(self):
         self._lengths = sorted({len(s) for s in self.stems}, reverse=True)
-        self._memo: dict[bytes | str, float] = {}
+        self._memo: dict[bytes | str, tuple[int, float]] = {}
 
-    def insult(self, word: str) -> float:
-        got = self.words.get(word, 0.0)
-        for n in self._lengths:
-            got = max(got, self.stems.get(word[:n], 0.0)) if len(word) >= n else got
-        return got
-
-    def _cue(self, raw: bytes | str) -> float:
-        got = self._memo.get(raw)
+    def tag(self, word: bytes | str) -> tuple[int, float]:
+        """The lexicon: (tag, weight of an insult)."""
+        got = self._memo.get(word)
         if got is None:
             if len(self._memo) > 400_000:
                 self._memo.clear()
-            word = raw if isinstance(raw, str) else raw.decode()
-            got = self._memo[raw] = max(self.insult(word), 1.0 if word in THREATS else 0.0)
+            w = word if isinstance(word, str) else word.decode()
+            closed = _CLOSED.get(w)
+            if closed is not None:
+                got = (closed, 0.0)
+            else:
+                weight = max([self.words.get(w, 0.0), *(self.stems.get(w[:n], 0.0) for n in self._lengths if len(w) >= n)])
+                got = (INSULT, weight) if weight else (THREAT if w in THREATS else OTHER, 0.0)
+            self._memo[word] = got
         return got
 
+    def clause(self, tokens: list[str]) -> list[tuple[int, float]]:
+        """(reading, weight) of what the grammar finds in a clause."""
+        tagged = [*map(self.tag, tokens)]
+        tags = [t for t, _ in tagged]
+        if INSULT not in tags and THREAT not in tags:
+            return []
+        return [(r, w * (tagged[i][1] or 1.0)) for i, r, w in readings(tags)]
+
     def evidence(self, text: str | None) -> np.ndarray | None:
         """Weight by reading, or None where no clause matches."""
         if not text:
             return None
-        low = text.lower()
+        low = normal(text)
         # the words of the grammar; in ASCII a table parts them alike
         words = set(low.encode().translate(_LETTERS).split() if low.isascii() else _TOKEN.findall(low))
-        if not any(map(self._cue, words)):
+        if not any(self.tag(w)[0] in (INSULT, THREAT) for w in words):
             return None
         total = np.zeros(len(READINGS))
         for clause in _CLAUSE.split(low):
-            for reading, weight in self.read(_TOKEN.findall(clause)):
+            for reading, weight in self.clause(_TOKEN.findall(clause)):
                 total[reading] += weight
         return total if total.any() else None
 
-    def read(self, tokens: list[str]) -> Iterator[tuple[int, float]]:
-        """The grammar transducer over one clause."""
-        tags = [(t, self.insult(t)) for t in tokens]
-        if not any(w or t in THREATS for t, w in tags):
-            return
-        aimed_at = [i for i, (t, _) in enumerate(tags) if t in TARGETS]
-        scope = reported = quoted = 0
-        modal = False
-        for i, (t, w) in enumerate(tags):
-            if t in NEGATIONS:
-                scope = 4
-            elif t in REPORTS:
-                reported = 1
-            elif t in MODALS:
-                modal = True
-            elif t in "\"“”«»":
-                quoted ^= 1
-            elif w:
-                near = any(abs(i - j) <= 4 for j in aimed_at)
-                yield (2 if scope else 3 if reported and (quoted or near) else 1 if near else 0), w
-            elif t in THREATS and modal and any(i < j <= i + 3 for j in aimed_at):
-                yield (2 if scope else 3 if reported else 4), 4.0
-            scope = max(0, scope - 1)
+    def features(self, text: str | None) -> list[float]:
+        """1, the logarithm of each reading's evidence, and that of meant evidence in a hundred words."""
+        got = self.evidence(text)
+        if got is None:
+            return [1.0] + [0.0] * (len(READINGS) + 1)
+        words = text.count(" ") + text.count("\n") + 1
+        return [1.0, *np.log1p(got).tolist(), math.log1p(100 * float(got @ MEANT) / (words + 20))]
 
     def score(self, text: str | None) -> float:
-        got = self.evidence(text)
-        z = self.weights[0] + (float(np.dot(self.weights[1:], np.log1p(got))) if got is not None else 0.0)
+        z = float(np.dot(self.weights, self.features(text)))
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 9)
 
 
@@ -126,8 +241,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _distinct_words(text: str) -> set[str]:
-    return set(re.findall(r"[^\W\d_]{2,}", text.lower()))
+def distinct_words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W\d_]{2,}", normal(text)))
 
 
 def _groups(sets: list[set[str]]) -> list[int]:
@@ -154,9 +269,9 @@ def _features(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_cues(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Insult words and stems (with a star) and their log odds."""
-    sets = [_distinct_words(t) for t in toxic]
+def learn_cues(sets: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """Insult words and stems (with a star) and their log odds, of the distinct words of toxic
+    and of clean texts."""
     by_group: dict[int, set[str]] = {}
     for group, words in zip(_groups(sets), sets, strict=True):
         known = by_group.get(group)
@@ -164,10 +279,10 @@ def learn_cues(toxic: list[str], clean: list[str]) -> dict[str, float]:
     groups = [_features(w) for w in by_group.values()]
     have = Counter(f for g in groups for f in g)
     least = max(LEAST_NEW, LEAST_SHARE * len(groups))
-    candidates = {f for f, n in have.items() if n >= least and len(f) > 3}
+    candidates = {f for f, n in have.items() if n >= least and len(f) > 3 and f not in _CLOSED}
     against: Counter = Counter()
-    for text in clean:
-        against.update(candidates & _features(_distinct_words(text)))
+    for words in clean:
+        against.update(candidates & _features(words))
     pos, neg = len(groups), max(1, len(clean))
     odds = {f: math.log((have[f] + 0.5) / (pos + 1)) - math.log((against[f] + 0.5) / (neg + 1)) for f in candidates}
     pure = {f for f in candidates if have[f] / pos >= 25 * against[f] / neg}
@@ -191,18 +306,22 @@ def learn_cues(toxic: list[str], clean: list[str]) -> dict[str, float]:
     return chosen
 
 
-def fit(toxic: list[str], clean: list[str], ridge: float = 0.5, rounds: int = 25) -> Model:
+def lexicon(toxic: list[set[str]], clean: list[set[str]]) -> Model:
+    """A model with learned cues and set priors, of the distinct words of either kind of text."""
     if not toxic or not clean:
         return Model()
     cues = learn_cues(toxic, clean)
-    words = {**{w: v for w, v in SEEDS.items()}, **{f: max(v, SEEDS.get(f, 0.0)) for f, v in cues.items() if not f.endswith("*")}}
-    seen = [_distinct_words(t) for t in clean]
-    for w in [w for w in SEEDS if sum(w in s for s in seen) > 0.002 * len(seen)]:
+    words = {**SEEDS, **{f: max(v, SEEDS.get(f, 0.0)) for f, v in cues.items() if not f.endswith("*")}}
+    for w in [w for w in SEEDS if sum(w in s for s in clean) > 0.002 * len(clean)]:
         words.pop(w)  # common in clean texts of this corpus
-    model = Model(words, {f[:-1]: v for f, v in cues.items() if f.endswith("*")})
-    x = np.array([np.concatenate(([1.0], np.log1p(e) if (e := model.evidence(t)) is not None else np.zeros(len(READINGS)))) for t in [*toxic, *clean]])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    b, penalty = PRIOR.copy(), np.array([0.01] + [ridge] * len(READINGS))
+    return Model(words, {f[:-1]: v for f, v in cues.items() if f.endswith("*")})
+
+
+def weigh(model: Model, x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> Model:
+    """The model with a logistic layer fitted to features ``x`` and labels ``y``."""
+    if len(set(y.tolist())) < 2:
+        return model
+    b, penalty = PRIOR.copy(), np.array([0.01] + [ridge] * (len(PRIOR) - 1))
     for _ in range(rounds):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         gradient = x.T @ (y - p) - penalty * (b - PRIOR)
@@ -214,19 +333,40 @@ def fit(toxic: list[str], clean: list[str], ridge: float = 0.5, rounds: int = 25
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model:
     """A model from at most ``most`` rows of either label outside the held-out third."""
+    scratch = Scratch(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "id").dropDuplicates(["id"]).select("text", "y")
+    rows = scratch.table(texts.join(F.broadcast(one(0).unionByName(one(1))), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled-texts")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(distinct_words(t))) for t in part.column(0).to_pylist()]), part.column(1)], names=["words", "y"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [(r["text"], r["y"]) for batch in batches for r in batch.to_pylist()]
-        m = fit(sorted(t for t, y in known if y), sorted(t for t, y in known if not y))
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m.words, m.stems, m.weights])])], names=["model"])
+        known = sorted((w, y) for batch in batches for w, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        m = lexicon(*[[set(w.split()) for w, y in known if y == label] for label in (1, 0)])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m.words, m.stems])])], names=["model"])
+
+    # one task takes the sample's distinct words, the driver the cues and then the features
+    got = rows.mapInArrow(words, "words string, y int").repartition(1).mapInArrow(learn, "model string").first()
+    if not got:
+        scratch.release()
+        return Model()
+    cues = json.loads(got.model)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*cues)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([pa.array([own.features(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
-    # one task takes the sample, which ``most`` bounds, and the driver the model alone
-    got = rows.repartition(1).mapInArrow(learn, "model string").first()
-    return Model(*json.loads(got.model)) if got else Model()
+    seen = sorted((tuple(r.x), r.y) for r in rows.mapInArrow(weighed, "x array<double>, y int").collect())  # at most 2 * ``most`` rows of numbers
+    scratch.release()
+    return weigh(Model(*cues), np.array([x for x, _ in seen]), np.array([y for _, y in seen], float))
 
 
 def scorer(model: Model):
