@@ -1,20 +1,24 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A vector's components are dealt into ``LISTS`` lists, and a score is the sum of one partial
-score from each. Phase 1: every task takes the k best entries of each of its lists, resolves
-their full scores and reports the k best; the k-th best of all reports is a cutoff that the
-true k-th score cannot be under. Phase 2: with the cutoff c broadcast, an entry can reach it
-only if one of its partial scores reaches c / LISTS, so every task collects just those. Phase 3
-resolves the full scores of the collected entries exactly, in integers, and ranks them.
-
-Queries are cut into blocks of at most ``BLOCK`` vectors; a block and its cutoffs are all that
-is broadcast, and each block passes all candidates. A task reports at most k entries a query,
-so copies of one vector, however many, stay in bounds.
+score from each. Phase 1: every task reads, for each query, the list in which the query is
+strongest, resolves the full scores of its best entries and reports the k best; the k-th best of
+all reports is a cutoff that the true k-th score cannot be under. Phase 2: with the cutoff c
+broadcast, an entry can reach it only if one of its partial scores reaches c / LISTS. A task
+keeps each list sorted by the length of the entries' parts, which bounds their partial scores,
+and reads it only down to where that bound falls below the threshold; it collects the entries
+whose partial score reaches it. Phase 3 resolves the full scores of the collected entries alone,
+exactly, in integers, and ranks them.
+
+Queries are cut into blocks of at most ``BLOCK`` vectors and about ``BLOCK_BYTES``; a block and
+its cutoffs are all that is broadcast, and each block passes all candidates. Its entries are
+written, so the plan of the result does not grow with the number of blocks. A task reports at
+most k entries a query, so copies of one vector, however many, stay in bounds.
 
 Rows: vectors that are null or hold a null, NaN or infinity take no part, nor do empty ones.
 Only vectors of the query's length are compared. Rows with the query's own id are no
 candidates; other repeated ids count row by row. Of repeated query ids the least vector asks.
-Rows with a null id take no part. Scores must fit a 64-bit integer.
+Rows with a null id take no part. Scores must fit a 64-bit integer, as the column is one.
 """
 
 from __future__ import annotations
@@ -23,16 +27,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import materialize
+from loomspan.session import Scratch, materialize
 
 K, SCALE, LISTS = 10, 1024, 4
-#: Queries in one block, candidates in one matrix product.
-BLOCK, CHUNK = 2048, 1024
+#: Queries in one block and about their bytes; candidates that share sorted lists; queries
+#: that are held against them at once.
+BLOCK, BLOCK_BYTES, CHUNK, STRIP = 16384, 1 << 24, 2048, 256
+#: Groups in which reports meet before they meet by query.
+SALTS = 64
 EXACT = 2.0**53
 #: The cutoff of a query with fewer than k entries: everything reaches it.
 NONE = -(2**63)
@@ -40,17 +46,13 @@ NONE = -(2**63)
 
 def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, rows of one length); null vectors and null components are gone by now."""
-    by: dict[int, tuple[list, list]] = {}
     ends = np.asarray(vectors.offsets)
-    flat = np.asarray(vectors.flatten(), np.int64)
-    base = ends[0]
-    for i, (a, b) in enumerate(zip(ends[:-1] - base, ends[1:] - base, strict=True)):
-        own = by.setdefault(int(b - a), ([], []))
-        own[0].append(ids[i].as_py())
-        own[1].append(flat[a:b])
-    for n, (own, rows) in by.items():
+    flat, own = np.asarray(vectors.flatten(), np.int64), np.asarray(ids, np.int64)
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    for n in np.unique(sizes).tolist():
         if n:
-            yield np.array(own, np.int64), np.stack(rows)
+            at = np.flatnonzero(sizes == n)
+            yield own[at], flat[starts[at][:, None] + np.arange(n)]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,12 +63,6 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if most < EXACT else a @ b.T
 
 
-def parts(a: np.ndarray, b: np.ndarray, lists: int) -> np.ndarray:
-    """Partial scores: (list, row of a, row of b)."""
-    cut = [round(i * a.shape[1] / lists) for i in range(lists + 1)]
-    return np.stack([products(a[:, x:y], b[:, x:y]) for x, y in zip(cut, cut[1:], strict=False)])
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, by falling score, then id."""
     if len(scores) > 4 * k:
@@ -77,11 +73,30 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def spans(size: int, lists: int) -> list[slice]:
+    """The components of each list that has any."""
+    cut = [round(i * size / lists) for i in range(lists + 1)]
+    return [slice(x, y) for x, y in zip(cut, cut[1:], strict=False) if x < y]
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
+
+
+def resolve(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Full scores of pairs of places."""
+    if 8 * len(q) > len(queries) * len(rows):
+        return products(queries, rows)[q, r]
+    step = max(1, (1 << 20) // max(1, rows.shape[1]))
+    return np.concatenate([np.zeros(0, np.int64), *[np.einsum("ij,ij->i", queries[q[lo : lo + step]], rows[r[lo : lo + step]]) for lo in range(0, len(q), step)]])
+
+
 class Search:
     """What one task keeps of the entries for each query of a block."""
 
     def __init__(self, block: list[tuple], k: int, lists: int):
         self.k, self.lists = k, lists
+        self.read = self.resolved = 0  # entries of lists, and scores
         self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in {len(q[1]) for q in block}:
             own = [q for q in block if len(q[1]) == n]
@@ -95,33 +110,67 @@ class Search:
         at = best(scores, ids, self.k)
         self.held[query] = ids[at], scores[at]
 
+    def _resolved(self, asks: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, least: np.ndarray | None = None) -> None:
+        """Take the entries ``r`` for the queries ``q``, sorted by query."""
+        other = ids[r] != asks[q]
+        q, r = q[other], r[other]
+        total = resolve(queries, rows, q, r)
+        self.resolved += len(q)
+        if least is not None:
+            enough = total >= least[q]
+            q, r, total = q[enough], r[enough], total[enough]
+        cut = np.flatnonzero(np.diff(q)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(q)], strict=True):
+            if lo < hi:
+                self._add(int(asks[q[lo]]), ids[r[lo:hi]], total[lo:hi])
+
     def report(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        """Phase 1: the heads of the local lists, resolved."""
+        """Phase 1: the head of each query's strongest list, resolved."""
         if rows.shape[1] not in self.groups:
             return
         asks, queries, _ = self.groups[rows.shape[1]]
-        partial = parts(queries, rows, self.lists)
-        total = partial.sum(axis=0)
-        top = min(self.k + 1, len(ids))  # one more, for the query itself
-        heads = np.argpartition(-partial, top - 1, axis=2)[:, :, :top]
-        for i, query in enumerate(asks.tolist()):
-            at = np.unique(heads[:, i])
-            at = at[ids[at] != query]
-            self._add(query, ids[at], total[i, at])
+        lists = spans(rows.shape[1], self.lists)
+        strongest = np.argmax([lengths(queries[:, s]) for s in lists], axis=0)
+        top = min(2 * self.k + 1, len(ids))
+        for j, s in enumerate(lists):
+            own = np.flatnonzero(strongest == j)
+            for lo in range(0, len(own), STRIP):
+                some = own[lo : lo + STRIP]
+                partial = products(queries[some, s], rows[:, s])
+                self.read += partial.size
+                heads = np.argpartition(-partial, top - 1, axis=1)[:, :top]
+                self._resolved(asks[some], queries[some], ids, rows, np.repeat(np.arange(len(some)), top), heads.ravel())
 
     def collect(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Phases 2 and 3: entries with a partial score at the uniform threshold, resolved."""
         if rows.shape[1] not in self.groups:
             return
         asks, queries, least = self.groups[rows.shape[1]]
-        partial = parts(queries, rows, self.lists)
-        enough = (partial >= (least // self.lists)[None, :, None]).any(axis=0)
-        enough &= ids[None, :] != asks[:, None]
-        total = partial.sum(axis=0)
-        enough &= total >= least[:, None]
-        for i in np.flatnonzero(enough.any(axis=1)).tolist():
-            at = np.flatnonzero(enough[i])
-            self._add(int(asks[i]), ids[at], total[i, at])
+        lists = spans(rows.shape[1], self.lists)
+        # least is at most the sum of the parts, so one part is at least its share, rounded down
+        share = least // len(lists)
+        sorted_lists = []
+        for s in lists:
+            size = lengths(rows[:, s])
+            order = np.argsort(-size, kind="stable")
+            sorted_lists.append((s, order, -size[order], lengths(queries[:, s])))
+        for lo in range(0, len(asks), STRIP):
+            some = slice(lo, lo + STRIP)
+            enough = np.zeros((len(asks[some]), len(ids)), bool)
+            for s, order, falling, strength in sorted_lists:
+                # |q| |x| bounds a partial score; a little more than that, for rounding
+                least_size = np.where(share[some] > 0, (share[some] - 1.0) / np.maximum(strength[some], 1e-300) * (1 - 1e-9), 0.0)
+                depths = np.searchsorted(falling, -least_size, side="right")
+                grade = np.frexp(depths)[1]  # queries that read about as far go together
+                for g in np.unique(grade).tolist():
+                    at = np.flatnonzero(grade == g)
+                    near = order[: int(depths[at].max())]
+                    if len(near):
+                        partial = products(queries[some][at, s], rows[near, s])
+                        self.read += partial.size
+                        enough[np.ix_(at, near)] |= partial >= share[some][at, None]
+            q, r = np.nonzero(enough)
+            self._resolved(asks[some], queries[some], ids, rows, q, r, least[some])
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
@@ -133,48 +182,47 @@ def integers(vector: Column, scale: int = SCALE) -> Column:
 
 def search(rows: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
     """For the rows for which ``asks`` holds: (query_id, rank, vec_id, score)."""
-    spark = rows.sparkSession
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     held = rows.select(rows[id_col].cast("bigint").alias("id"), integers(rows[vector_col], scale).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where("id is not null and v is not null")
-    queries, _ = materialize(held.where("asks").groupBy("id").agg(F.min("v").alias("v")), "queries")
-    n = max(1, math.ceil(queries.count() / block))
-    order = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * n if n > 1 else 1)))  # about half full: never over the bound by much
+    queries = scratch.table(held.where("asks").groupBy("id").agg(F.min("v").alias("v")), "queries")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
+    n = max(1, math.ceil(size.n / block), math.ceil(8 * size.components / BLOCK_BYTES))
+    n = 2 * n if n > 1 else 1  # about half full: never over the bound by much
+    order = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
     candidates = held.select("id", "v")
-    found = []
-    for b in range(2 * n if n > 1 else 1):
+
+    def passed(block: list[tuple], phase: str) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = Search(sent.value, k, lists)
+            step = getattr(task, phase)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(lo, CHUNK)
+                    for ids, vectors in matrices(part.column(0), part.column(1)):
+                        step(ids, vectors)
+            if task.held:
+                kept = [*task.held.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in kept], pa.int64()), pa.array([x[0] for _, x in kept], pa.list_(pa.int64())), pa.array([x[1] for _, x in kept], pa.list_(pa.int64()))], names=["query_id", "ids", "scores"])
+
+        return candidates.mapInArrow(run, "query_id bigint, ids array<bigint>, scores array<bigint>")
+
+    highest = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k).alias("scores")
+    kth = F.when(F.size("scores") >= k, F.element_at("scores", k)).alias("cutoff")
+    schema, paths = "query_id bigint, ids array<bigint>, scores array<bigint>", []
+    for b in range(n):
         own = [(r.id, r.v) for r in order.where(F.col("block") == b).collect()]  # bounded by ``block``
         if not own:
             continue
-
-        def passed(block: list[tuple], phase: str) -> DataFrame:
-            sent = spark.sparkContext.broadcast(block)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                task = Search(sent.value, k, lists)
-                step = getattr(task, phase)
-                for batch in batches:
-                    for lo in range(0, batch.num_rows, CHUNK):
-                        part = batch.slice(lo, CHUNK)
-                        for ids, vectors in matrices(part.column(0), part.column(1)):
-                            step(ids, vectors)
-                if task.held:
-                    kept = [*task.held.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in kept], pa.int64()), pa.array([x[0] for _, x in kept], pa.list_(pa.int64())), pa.array([x[1] for _, x in kept], pa.list_(pa.int64()))], names=["query_id", "ids", "scores"])
-
-            return candidates.mapInArrow(run, "query_id bigint, ids array<bigint>, scores array<bigint>")
-
-        def kth(part: pd.DataFrame) -> pd.DataFrame:
-            scores = np.concatenate(part["scores"].to_list())
-            cutoff = int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None
-            return pd.DataFrame({"query_id": [part["query_id"].iloc[0]], "cutoff": pd.array([cutoff], "Int64")})
-
-        reports = passed([(q, v, None) for q, v in own], "report").select("query_id", "scores")
-        cutoffs = {r.query_id: r.cutoff for r in reports.groupBy("query_id").applyInPandas(kth, "query_id bigint, cutoff bigint").collect()}
-        found.append(passed([(q, v, cutoffs.get(q)) for q, v in own], "collect"))
-    if not found:
+        reports = passed([(q, v, None) for q, v in own], "report").select("query_id", "scores", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+        reports = reports.groupBy("query_id", "salt").agg(highest).groupBy("query_id").agg(highest)
+        cutoffs = {r.query_id: r.cutoff for r in reports.select("query_id", kth).collect()}
+        paths.append(materialize(passed([(q, v, cutoffs.get(q)) for q, v in own], "collect"), "entries")[1])
+    scratch.release()
+    if not paths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    entries = found[0]
-    for more in found[1:]:
-        entries = entries.unionByName(more)
+    entries = spark.read.schema(schema).parquet(*paths)
     entries = entries.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("query_id", F.col("e.ids").alias("vec_id"), F.col("e.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomspan.llm import topk
@@ -39,3 +40,24 @@ def test_few_or_no_rows(spark):
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") % 10 == 0).collect()] == [(0, 1, 1, 1024 * 2048)]
     assert topk.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.search(df.where("vec_id = 0"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_lists_are_read_down_to_the_threshold_only():
+    """Long vectors set the cutoff; of the many short ones neither parts nor scores are computed."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-1000, 1000, (2000, 16))
+    rows[40:] //= 100
+    ids = np.arange(2000)
+    queries = rows[:8]
+    block = [(int(i), v.tolist(), None) for i, v in zip(ids[:8], queries, strict=True)]
+    first = topk.Search(block, 10, 4)
+    first.report(ids, rows)
+    cutoffs = {q: int(np.sort(scores)[-10]) for q, (_, scores) in first.held.items()}
+    second = topk.Search([(q, v, cutoffs[q]) for q, v, _ in block], 10, 4)
+    second.collect(ids, rows)
+    assert second.read < 8 * 4 * len(rows) / 4 and second.resolved < 8 * len(rows) / 10
+    for q, v, _ in block:
+        scores = rows @ np.array(v)
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+        got = sorted(zip((-second.held[q][1]).tolist(), second.held[q][0].tolist(), strict=True))
+        assert got == want
