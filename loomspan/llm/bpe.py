@@ -2,11 +2,13 @@
 
 A gear rolling hash over the UTF-8 bytes picks chunk boundaries from content alone, so a
 passage that recurs in many documents yields the same chunks wherever it stands. A chunk is
-encoded and decoded once per task and served from a bounded cache afterwards. Where two
-chunks meet, the join is exact if a space starts the right chunk and no space ends the left
-one: no pre-token of a byte-level BPE holds a space behind its first character. Any other
-join is repaired: the text around it is encoded again, over a window that widens until its
-two ends are token boundaries of both the chunks and the window.
+encoded and decoded once per task and served from a bounded cache afterwards. Boundaries fall
+anywhere, also within words, so every join is repaired: a few tokens on either side are encoded
+again as one window, which is widened until it agrees with what lies on both its sides, that is
+until its first and last tokens are those of the chunks, up to a place on either side where a
+pre-token is known to start (a space or line end behind a character that is none; no pre-token
+of a byte-level BPE reaches across one). A chunk without such a place is encoded again together
+with those behind it.
 
 Rows: a null text counts as empty; empty texts have no tokens; ids may repeat or be null and
 are carried as they are; only the two named columns are read, so extra columns never clash.
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes that a task's chunk cache may hold, in two generations.
 CACHE_BYTES = 48_000_000
-MASK = np.uint32(0x3F << 20)
-LONGEST_CHUNK = 4096
+MASK = np.uint32(0xFF << 20)
+SHORTEST_CHUNK, LONGEST_CHUNK = 64, 4096
+#: Tokens on either side of a join that are encoded again first.
+WINDOW = 3
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,16 +46,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def cuts(data: bytes) -> list[int]:
-    """Chunk starts behind 0. A start is a space behind a non-space where the rolling hash of
-    the 16 bytes before it hits the mask, or a character start where no such place comes."""
+    """Chunk starts behind 0: starts of characters where the rolling hash of the 16 bytes before
+    them hits the mask, or has its least value where no such place comes for long."""
     n = len(data)
-    if n <= 64:
+    if n <= 2 * SHORTEST_CHUNK:
         return []
     b = np.frombuffer(data, np.uint8)
     h = _GEAR[b]
     for step in (1, 2, 4, 8):
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    starts = np.flatnonzero(((h[:-1] & MASK) == 0) & ((b[1:] == 32) | (b[1:] == 10)) & ~_SPACE[b[:-1]] & (b[:-1] < 128)) + 1
+    starts = np.flatnonzero(((h[:-1] & MASK) == 0) & ((b[1:] & 0xC0) != 0x80)) + 1
     out, last = [], 0
     for at in [*starts.tolist(), n]:
         while at - last > LONGEST_CHUNK:  # no boundary in reach: cut by the same hash, anywhere
@@ -60,12 +64,21 @@ def cuts(data: bytes) -> list[int]:
             while data[last] & 0xC0 == 0x80:
                 last -= 1
             out.append(last)
-        if at < n and at - last >= 32:
+        if at < n and at - last >= SHORTEST_CHUNK:
             out.append(at)
             last = at
     return out
 
 
+def starts_pre_token(data: bytes, at: int) -> bool:
+    """Whether a pre-token certainly starts at a place within the text, whatever stands around;
+    both ends of the text count."""
+    if not 0 < at < len(data):
+        return True
+    before = data[at - 1]
+    return data[at] in (32, 10) and before < 128 and before not in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
+
+
 class ChunkCodec:
     """Encodes and decodes whole texts, each distinct chunk once while it stays cached."""
 
@@ -89,87 +102,111 @@ class ChunkCodec:
             self.table[i] = token
         if self.special is not None:
             self.table[self.special_id] = self.special.encode()
-        self.lengths = np.array([len(x) for x in self.table], np.int64)
         self._bpe = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._young, self._old, self._held, self._most = {}, {}, 0, cache_bytes // 2
-        self.encoded = self.reused = self.repaired = 0
-
-    def _chunk(self, data: bytes) -> tuple[list[int], bytes, bytes]:
-        """(ids, ids as little-endian uint32, decoded bytes) of a chunk."""
+        self.encoded = self.reused = self.repaired = self.widened = self.merged = 0
+        self.encoded_bytes = self.reused_bytes = 0
+
+    def _ids(self, data: bytes) -> array:
+        """The ids of some bytes, which they must stand for exactly."""
+        ids = array("I", self._bpe(data.decode()))
+        if b"".join(map(self.table.__getitem__, ids)) != data:
+            raise ValueError("the tokenizer does not keep its input")
+        return ids
+
+    def _chunk(self, data: bytes) -> array:
+        """The ids of a chunk, encoded once while it stays cached."""
         got = self._young.get(data)
         if got is None:
             got = self._old.get(data)
             if got is None:
-                ids = self._bpe(data.decode())
-                got = (ids, np.array(ids, "<u4").tobytes(), b"".join(map(self.table.__getitem__, ids)))
+                got = self._ids(data)
                 self.encoded += 1
+                self.encoded_bytes += len(data)
             else:
                 self.reused += 1
+                self.reused_bytes += len(data)
             self._young[data] = got
-            self._held += 200 + 2 * len(data) + 12 * len(got[0])
+            self._held += 200 + len(data) + 4 * len(got)
             if self._held > self._most:
                 self._young, self._old, self._held = {}, self._young, 0
         else:
             self.reused += 1
+            self.reused_bytes += len(data)
         return got
 
-    def _repair(self, data: bytes, starts: list[int], pieces: list[tuple]) -> list[tuple]:
-        """Joins that are not exact by their bytes: encode windows around them anew."""
-        offsets = [np.concatenate(([0], np.cumsum(self.lengths[p[0]]))) + s for p, s in zip(pieces, starts, strict=True)]
-        whole_ids = np.concatenate([np.array(p[0], np.int64) for p in pieces])
-        bounds = np.unique(np.concatenate(offsets))
-        first = np.searchsorted(np.concatenate([o[:-1] for o in offsets]), bounds)  # token index at each boundary
-        safe = [int(x) for x in bounds if 0 < x < len(data) and data[x] in (32, 10) and data[x - 1] < 128 and not _SPACE[data[x - 1]]]
-        bad = [s for s in starts[1:] if not self._exact(data, s)]
-        ids, done = [], 0
-        index = dict(zip(bounds.tolist(), first.tolist(), strict=True))
-        index[len(data)] = len(whole_ids)
-        safe = [0, *[x for x in safe if x not in set(bad)], len(data)]
-        k = 0
-        while k < len(bad):
-            at = bad[k]
-            right = np.searchsorted(safe, at, side="right")
-            left, right = safe[right - 1], safe[min(right, len(safe) - 1)]
-            while k < len(bad) and bad[k] < right:
-                k += 1
-            ids.append(whole_ids[done : index[left]])
-            ids.append(np.array(self._bpe(data[left:right].decode()), np.int64))  # both ends are pre-token starts: exact
-            done = index[right]
-            self.repaired += 1
-        ids.append(whole_ids[done:])
-        ids = np.concatenate(ids).tolist()
-        return [(ids, np.array(ids, "<u4").tobytes(), b"".join(map(self.table.__getitem__, ids)))]
-
-    @staticmethod
-    def _exact(data: bytes, at: int) -> bool:
-        return data[at] in (32, 10) and data[at - 1] < 128 and not _SPACE[data[at - 1]]
-
-    def _segment(self, data: bytes) -> list[tuple]:
-        starts = [0, *cuts(data)]
-        pieces = [self._chunk(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
-        if all(self._exact(data, s) for s in starts[1:]):
-            return pieces
-        return self._repair(data, starts, pieces)
-
-    def pieces(self, text: str | None) -> list[tuple]:
+    def _agreed(self, data: bytes, at: int, window: list[int], side: list[int], step: int) -> bool:
+        """Whether ``window`` and ``side`` agree, token by token from the window's end at ``at``
+        inwards (``step`` 1 from the left, -1 from the right), up to a place where a pre-token
+        starts."""
+        if starts_pre_token(data, at):
+            return True
+        for a, b in zip(window[::step], side[::step], strict=False):
+            if a != b:
+                return False
+            at += step * len(self.table[a])
+            if starts_pre_token(data, at):
+                return True
+        return False
+
+    def _join(self, data: bytes, out: array, at: int, right: array, end: int) -> bool:
+        """Append ``right``, the ids of data[at:end], to ``out``, those of all before, with the
+        join repaired; False (and nothing done) where ``right`` is too short for that."""
+        n, table = WINDOW, self.table
+        while True:
+            left, ahead = out[-n:].tolist(), right[:n].tolist()
+            a, b = at - sum(len(table[i]) for i in left), at + sum(len(table[i]) for i in ahead)
+            # a token may end within a character: then no window can end there
+            if (a == 0 or data[a] & 0xC0 != 0x80) and (b == len(data) or data[b] & 0xC0 != 0x80):
+                window = self._bpe(data[a:b].decode())
+                if self._agreed(data, a, window, left, 1) and self._agreed(data, b, window, ahead, -1):
+                    break
+            if b == end and end < len(data) and n >= len(right) and not starts_pre_token(data, end):
+                return False
+            n *= 2
+            self.widened += 1
+        del out[len(out) - len(left) :]
+        out.extend(window)
+        out.extend(right[len(ahead) :])
+        self.repaired += 1
+        return True
+
+    def _segment(self, data: bytes) -> array:
+        starts = [0, *cuts(data), len(data)]
+        out = array("I", self._chunk(data[: starts[1]]))
+        k = 1
+        while k < len(starts) - 1:
+            end = k + 1
+            right = self._chunk(data[starts[k] : starts[end]])
+            while not self._join(data, out, starts[k], right, starts[end]):
+                end = min(len(starts) - 1, end + (end - k))  # twice as far, as one piece
+                right = self._ids(data[starts[k] : starts[end]])
+                self.merged += 1
+            k = end
+        return out
+
+    def encode(self, text: str | None) -> array:
+        out = array("I")
         if not text:
-            return []
+            return out
         if self.special is None or self.special not in text:
             return self._segment(text.encode())
-        mark = ([self.special_id], np.array([self.special_id], "<u4").tobytes(), self.special.encode())
-        out: list[tuple] = []
         for i, part in enumerate(text.split(self.special)):
             if i:
-                out.append(mark)
+                out.append(self.special_id)
             if part:
-                out += self._segment(part.encode())
+                out.extend(self._segment(part.encode()))
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[0]]
+    def decode(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.table[i] for i in ids).decode("utf-8", "replace")
+def little(ids: array) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    if sys.byteorder == "big" or ids.itemsize != 4:
+        return np.array(ids, "<u4").tobytes()
+    return ids.tobytes()
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -186,14 +223,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 part = batch.slice(lo, 256)
                 n, a, b, lists = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    pieces = codec.pieces(text)
-                    raw = b"".join([p[1] for p in pieces])
-                    n.append(len(raw) // 4)
-                    a.append(hashlib.sha256(raw).hexdigest())
-                    decoded = b"".join([p[2] for p in pieces])
-                    b.append(hashlib.sha256(decoded).hexdigest())
+                    ids = codec.encode(text)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(little(ids)).hexdigest())
+                    b.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
                     if with_ids:
-                        lists.append(np.frombuffer(raw, "<u4").astype(np.int32))
+                        lists.append(np.array(ids, np.int32))
                 columns = {id_col: part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
                 if with_ids:
                     columns["ids"] = pa.array(lists, pa.list_(pa.int32()))

@@ -2,7 +2,8 @@
 
 Pass 1: every task fills two blocked Bloom filters from the long line keys of its documents:
 once-seen, and twice-seen for keys of a second document. Filters of tasks meet segment by
-segment: a key is seen twice if any task saw it twice or two tasks saw it once. Pass 2: only
+segment, first those of ``TOGETHER`` tasks, then the results: a key is seen twice if any task saw
+it twice or two tasks saw it once. Pass 2: only
 lines whose hash the merged twice-seen filter holds are suspected; of these a SHA-256 digest
 and the document's id are shuffled, counted exactly, and the occurrence to keep is chosen.
 Pass 3 joins the dropped digests to the documents.
@@ -35,6 +36,8 @@ LEAST_DOCS = 5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 SEGMENT_BITS = 1 << 16
 PROBES = 4
+#: Tasks whose filters meet first.
+TOGETHER = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -127,9 +130,12 @@ def twice_seen(texts: DataFrame, bits: int, least: int = LEAST_CHARS) -> dict[in
             once |= a
             if b is not None:
                 twice |= np.frombuffer(zlib.decompress(b), np.uint8)
-        return pd.DataFrame({"segment": [part["segment"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1) if twice.any() else None]})
+        packed = [zlib.compress(x.tobytes(), 1) if x.any() else None for x in (once, twice)]
+        return pd.DataFrame({"segment": [part["segment"].iloc[0]], "once": packed[:1], "twice": packed[1:]})
 
-    merged = texts.mapInArrow(local, "segment int, once binary, twice binary").groupBy("segment").applyInPandas(meet, "segment int, twice binary").where("twice is not null")
+    schema = "segment int, once binary, twice binary"
+    near = F.floor(F.spark_partition_id() / TOGETHER)
+    merged = texts.mapInArrow(local, schema).groupBy("segment", near).applyInPandas(meet, schema).groupBy("segment").applyInPandas(meet, schema).where("twice is not null")
     return {r.segment: bytes(r.twice) for r in merged.collect()}  # bounded by MAX_BITS
 
 

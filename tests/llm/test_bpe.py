@@ -28,15 +28,16 @@ def texts():
 def test_ids_agree_with_the_library(library):
     codec = bpe.ChunkCodec(bpe.tokenizer_path())
     for text in texts() * 2:
-        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
         assert codec.decode(codec.encode(text)) == library.decode(codec.encode(text), skip_special_tokens=False) == text
-    assert codec.reused > codec.encoded > 0 and codec.repaired
+    assert codec.reused > codec.encoded > 0 and codec.repaired > codec.widened > 0 and codec.merged
+    assert codec.reused_bytes > codec.encoded_bytes
 
 
 def test_tiny_cache_changes_nothing(library):
     codec = bpe.ChunkCodec(bpe.tokenizer_path(), 3_000)
     for text in texts():
-        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_frame(spark, library):
@@ -53,3 +54,15 @@ def test_frame(spark, library):
     assert bpe.encode(df.limit(0)).count() == 0
     back = bpe.decode(bpe.encode(df, with_ids=True)).where("doc_id = 12").first().text
     assert back == rows[12][1]
+
+
+def test_chunks_of_a_passage_are_the_same_wherever_it_stands():
+    rng = random.Random(4)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(2_000)).encode()
+    chunks = []
+    for head in (b"", b"another beginning, " * 9, "é".encode() * 77):
+        data = head + passage
+        starts = [0, *bpe.cuts(data), len(data)]
+        chunks.append({data[a:b] for a, b in zip(starts, starts[1:], strict=False)})
+    common = chunks[0] & chunks[1] & chunks[2]
+    assert sum(map(len, common)) > 0.9 * len(passage)
