@@ -56,3 +56,22 @@ def test_one_whole_item_is_enough_to_drop_a_document(spark):
         assert kept.columns == d.columns
         assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, docs[1:2] + docs[3:]))
     assert D.drop_contaminated(d, b.limit(0)).count() == len(docs) and D.drop_contaminated(d.limit(0), b).count() == 0
+
+
+def test_long_items_in_pieces_and_long_runs(spark, monkeypatch):
+    """An item over several pieces and blocks is one item; a long run of a longer item is a leak."""
+    monkeypatch.setattr(D, "PIECE", 7)
+    rng = random.Random(9)
+    item = [f"w{rng.randint(0, 40)}" for _ in range(120)]
+    bench = [("long", " ".join(item)), ("short", "p q r s t u v w x")]
+    docs = [(i, "z " * i + " ".join(item[a : a + n]) + " z", "c") for i, (a, n) in enumerate([(0, 7), (0, 8), (3, 12), (10, 23), (20, 24), (0, 120), (50, 70)])]
+    d = spark.createDataFrame(docs, "doc_id long, text string, __hits string")
+    b = spark.createDataFrame(bench, "item_id string, text string")
+    for size in (10**6, 60):
+        got = D.decontaminate(d, b, block_bytes=size)
+        assert sorted(map(tuple, got.collect())) == sorted((i, *brute(t, bench)) for i, t, _ in docs)
+        shares = {r.doc_id: r.share for r in D.annotate(d, b, block_bytes=size).collect()}
+        assert shares[0] == 0 and abs(shares[1] - 1 / 113) < 1e-9 and abs(shares[5] - 1) < 1e-9 and abs(shares[6] - 63 / 113) < 1e-9
+    d = d.select("doc_id", "text")
+    for size in (10**6, 60):
+        assert sorted(r.doc_id for r in D.drop_contaminated(d, b, block_bytes=size).collect()) == [0, 1, 2, 3]

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain one."""
 
 import hashlib
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -34,13 +35,17 @@ def plain_lines(docs):
 def leaks(text, bench):
     w = split(text)
     windows = {tuple(w[i : i + m]) for m in {min(8, len(b)) for _, b in bench} for i in range(len(w) - m + 1)}
-    n, share = 0, 0.0
+    n, share, of = 0, 0.0, set()
     for _, b in bench:
         m = min(8, len(b))
-        own = {tuple(b[i : i + m]) for i in range(len(b) - m + 1)}
-        n += bool(own & windows)
-        share = max(share, len(own & windows) / len(own))
-    return n >= 2 or share >= 0.5
+        places = [tuple(b[i : i + m]) for i in range(len(b) - m + 1)]
+        own = [x for x in places if x in windows]
+        of |= set(own)
+        n += bool(own)
+        share = max(share, len(own) / len(places))
+    hit = {j for m in {len(x) for x in of} for i in range(len(w) - m + 1) if tuple(w[i : i + m]) in of for j in range(i, i + m)}
+    run = max((len(list(g)) for k, g in itertools.groupby(range(len(w)), hit.__contains__) if k), default=0)
+    return n >= 2 or share >= 0.5 or run >= 24
 
 
 def test_against_plain_stages(spark):
