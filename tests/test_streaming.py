@@ -32,6 +32,41 @@ def test_closed_form_and_fold_agree(spark):
             assert sorted((r["index"], r["version"], r["final"], r["at"], r["first"], r["last"]) for r in got if r["stream"] == stream) == sorted(want)
 
 
+def test_what_falls_due_is_what_the_closed_form_lists():
+    """All showings of a segment of any length, by the lengths at which they come."""
+    for rule in (segments.Rule(), segments.Rule(20, 4, 6, 3), segments.Rule(9, 8, 2, 0), segments.Rule(20, 0, 0, 0)):
+        step = rule.longest - rule.carry
+        for length in range(1, 5 * rule.longest):
+            want, no = [], 0
+            while True:
+                start, end = no * step, min(no * step + rule.longest, length)
+                drafts = rule.drafts(rule.carry if no else 0)
+                want += [(start, start + n, v, False) for v, n in enumerate(drafts) if n <= end - start]
+                last = length < no * step + rule.longest
+                want.append((start, end, sum(n <= end - start for n in drafts), True))
+                if last:
+                    break
+                no += 1
+            got = [(n - back, n, v, final) for n in range(1, length + 1) for v, final, back in segments.due(n, rule)]
+            version, final, back = segments.rest(length, rule)
+            got.append((length - back, length, version, final))
+            assert sorted(x for x in got if x[0] < x[1]) == sorted(x for x in want if x[0] < x[1])
+
+
+def test_end_of_a_stream_and_idle_streams(spark, tmp_path):
+    """An end mark closes what is open; so does a time without rows, and the state goes with it."""
+    made = streams.made_frames(spark, 2, 400).where("seq < 90")
+    mark = spark.createDataFrame([("0", None, None, None)], "stream string, seq long, speech boolean, power double")
+    later = made.where("stream = '1' and seq < 0").unionByName(spark.createDataFrame([("9", 0, False, 0.0)], "stream string, seq long, speech boolean, power double"))
+    source, out = str(tmp_path / "frames"), str(tmp_path / "out")
+    for part in (made.where("stream = '0'").unionByName(mark), made.where("stream = '1'"), later):
+        part.coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state.drain(spark, state.run(rows, state.Utterances, state.UTTERANCE, idle=0), str(tmp_path / "log"), lambda df, k: df.write.mode("append").parquet(out))
+    got = [tuple(r) for r in spark.read.parquet(out).where("final").select("stream", "first", "last").collect()]
+    assert sorted(got) == [("0", 11, 89), ("1", 11, 89)]
+
+
 def test_lengths_of_the_rule():
     rule = segments.Rule()
     assert (rule.longest, rule.carry, rule.drafts(0), rule.drafts(rule.carry)) == (188, 10, [63, 126], [73, 136])
