@@ -1,4 +1,5 @@
-"""``python -m loomspan index FOLDER INDEX | search INDEX QUERY | validate INDEX CASES``"""
+"""``python -m loomspan index FOLDER INDEX | search INDEX QUERY | validate INDEX CASES |
+stream FRAMES OUT | notes TRANSCRIPTS OUT``"""
 
 from __future__ import annotations
 
@@ -26,6 +27,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("index")
     p.add_argument("cases")
     p.add_argument("--show", action="store_true")
+    p = sub.add_parser("stream")
+    p.add_argument("frames")
+    p.add_argument("out")
+    p.add_argument("--checkpoint")
+    p.add_argument("--idle", type=int, default=60_000)
+    p.add_argument("--tick")
+    p = sub.add_parser("notes")
+    p.add_argument("transcripts")
+    p.add_argument("out")
+    p.add_argument("--language", default="tr")
     args = top.parse_args(argv)
     spark = session()
     if args.job == "index":
@@ -33,6 +44,12 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "search":
         asked = spark.createDataFrame([(1, args.query, args.today)], "query_id long, query string, today date")
         jobs.search(jobs.read(spark, args.index), asked, top=args.top).orderBy("place").show(args.top, truncate=False)
+    elif args.job == "stream":
+        query = jobs.listen(spark, args.frames, args.out, args.checkpoint or f"{args.out}-checkpoint", args.idle, args.tick)
+        if args.tick:
+            query.awaitTermination()
+    elif args.job == "notes":
+        jobs.minutes(spark, args.transcripts, args.out, target=args.language).show(1000, truncate=False)
     else:
         metrics, first = jobs.validate(jobs.read(spark, args.index), configs.cases(spark, args.cases))
         metrics.show()

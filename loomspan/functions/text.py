@@ -71,14 +71,28 @@ def _edge_key(word: Column) -> Column:
     return F.lower(F.trim(word, F.lit(EDGE)))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def drop_repeat(previous: Column, said: Column, most: int = REPEAT_WORDS) -> Column:
     """``said`` without its first words where they repeat the last words of ``previous``: the
-    longest such run of at most ``most``; case and edge signs do not count."""
-    before, now = F.transform(words(previous), _edge_key), words(said)
-    after = F.transform(now, _edge_key)
-    n = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: (k <= F.size(before)) & (k <= F.size(after)) & ((k == 0) | (F.slice(before, F.size(before) - k + 1, k) == F.slice(after, F.lit(1), k)))))
-    rest = F.array_join(F.slice(now, n + 1, F.greatest(F.size(now) - n, F.lit(0))), " ")
-    return F.when((n > 0) & (previous != ""), rest).otherwise(said)
+    longest such run of at most ``most``; case and edge signs do not count. Only the words at the
+    cut are compared, and each text is split once."""
+    keys = lambda words: F.transform(words, _edge_key)
+
+    def cut(x: Column) -> Column:
+        tail = keys(F.slice(x["before"], F.greatest(F.size(x["before"]) - most + 1, F.lit(1)), F.lit(most)))
+        return F.struct(tail.alias("tail"), keys(F.slice(x["now"], 1, most)).alias("head"), x["now"].alias("now"))
+
+    def rest(x: Column) -> Column:
+        same = lambda k: (k <= F.size(x["tail"])) & (k <= F.size(x["head"])) & (F.slice(x["tail"], F.size(x["tail"]) - k + 1, k) == F.slice(x["head"], F.lit(1), k))
+        n = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: (k == 0) | same(k)))
+        return let(n, lambda n: F.when(n > 0, F.array_join(F.slice(x["now"], n + 1, F.greatest(F.size(x["now"]) - n, F.lit(0))), " ")))
+
+    both = F.struct(words(previous).alias("before"), words(said).alias("now"))
+    return F.when(previous != "", F.coalesce(let(let(both, cut), rest), said)).otherwise(said)
 
 
 def trim_continuation(text: Column) -> Column:
@@ -148,6 +162,18 @@ def domain(url: Column) -> Column:
     return F.regexp_extract(canonical_url(url), r"^https://([^/?]*)", 1)
 
 
+#: What the address of an item says about its form (ours); an article otherwise.
+FORMATS = {"video": r"(?i)(?:youtube\.com/watch|youtu\.be/|vimeo\.com/|/videos?/)", "audio": r"(?i)(?:/podcasts?/|\.mp3(?:$|\?))", "paper": r"(?i)(?:arxiv\.org/|\.pdf(?:$|\?))", "code": r"(?i)(?:github\.com/|gitlab\.com/)", "feed": r"(?i)(?:/feeds?(?:/|$)|/rss|\.xml(?:$|\?))"}
+
+
+def item_format(url: Column) -> Column:
+    """The form of an item by its address alone, never by a model."""
+    out = None
+    for name, pattern in FORMATS.items():
+        out = F.when(url.rlike(pattern), name) if out is None else out.when(url.rlike(pattern), name)
+    return out.otherwise("article")
+
+
 def parse_window(text: Column) -> Column:
     """Days of a window like ``30d``; anything else is null."""
     return F.when(text.rlike(r"^\d{1,6}d$"), F.regexp_extract(text, r"^(\d+)d$", 1).cast("int"))

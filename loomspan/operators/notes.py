@@ -14,6 +14,14 @@ from loomspan.operators import transcript
 EMPTY = "(transcript is empty)"
 TRIES = 2
 LONG_SENTENCE = 300
+#: Headings of notes: decisions, things to do, open questions (fixed values).
+HEADINGS = ["## Kararlar", "## Yapılacaklar", "## Açık Sorular"]
+INSTRUCTIONS = "\n".join([
+    "Below is the transcript of a meeting, made by a machine. Write its notes in Turkish.",
+    "What a speaker takes back or puts right counts as put right. Say nothing that is not in the transcript, and name nobody it does not name.",
+    "Days, times and numbers come from the line as it was spoken, never from the translation below it.",
+    "Use these headings, and leave out one that has nothing below it:", *HEADINGS,
+])
 
 
 def good_translation(said: str, translation: str | None, target: str) -> str | None:
@@ -68,13 +76,14 @@ def translation_prompt(line: Column, language: str, source: Column | None = None
     return F.concat_ws("\n\n", *[p for p in parts if p is not None], F.concat(F.lit("Translate this "), F.ltrim(named), F.lit(f"subtitle line to {language}:\n\n"), line))
 
 
-def write(prompts: DataFrame, make: Callable[[], Callable[[str], str]], session: str = "session") -> DataFrame:
-    """(session, notes): one call of the writer per session; an empty transcript needs none."""
+def write(prompts: DataFrame, make: Callable[[], Callable[[str], str]], session: str = "session", instructions: str = INSTRUCTIONS) -> DataFrame:
+    """(session, notes): one call of the writer per session, with the instructions before the
+    transcript; an empty transcript needs none."""
 
     @F.pandas_udf("string")
     def ask(prompt: pd.Series) -> pd.Series:
         writer = make()
-        return pd.Series([writer(p).strip() if p else EMPTY for p in prompt], dtype=object)
+        return pd.Series([writer(f"{instructions}\n\n{p}").strip() if p else EMPTY for p in prompt], dtype=object)
 
     return prompts.select(session, ask("prompt").alias("notes"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import index_tokens
+from loomspan.session import materialize
 
 RRF_K = 60
 #: Rows of a side that may be sent to every task.
@@ -56,12 +57,20 @@ def cosine_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def dense_rank_from_zero(scored: DataFrame, score: str, tie: str, name: str = "rank", most: int | None = None) -> DataFrame:
-    """Places from 0 by falling score, ties by ``tie``; the first ``most`` only, if given."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))
-    out = scored.withColumn(name, place)
+    """Places from 0 by falling score, ties by ``tie``; the first ``most`` only, if given. Without
+    ``most`` a query ranks the whole corpus: its rows are dealt by range and written, and a place
+    is that within the range plus what the ranges before it hold of the same query, so no task
+    takes all rows of a query."""
+    order = [F.desc(score), F.col(tie)]
     if most is not None:
-        out = out.where(F.col(name) <= most)
-    return out.withColumn(name, F.col(name) - 1)
+        out = scored.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        return out.where(F.col(name) <= most).withColumn(name, F.col(name) - 1)
+    dealt, _ = materialize(scored.repartitionByRange("query_id", *order).withColumn("__part", F.spark_partition_id()), "ranges")  # fixed from here on
+    held = dealt.groupBy("query_id", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(*order))
+    out = dealt.withColumn(name, place).join(held.select("query_id", "__part", before.alias("__before")), ["query_id", "__part"])
+    return out.withColumn(name, (F.col(name) - 1 + F.col("__before")).cast("int")).drop("__part", "__before")
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -80,21 +89,32 @@ def best_chunk(scored: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, pos) of every index term."""
-    return docs.select(F.col(id_col), F.posexplode(index_tokens(F.col(text_col))).alias("pos", "term")).select("term", id_col, "pos")
+    """(term, id, pos, length) of every index term; ``length`` is the document's number of terms."""
+    tokens = docs.select(F.col(id_col), index_tokens(F.col(text_col)).alias("tokens"))
+    return tokens.select(F.col(id_col), F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).select("term", id_col, "pos", "length")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of documents and (query_id, terms array<string>): (query_id, id, score) for documents that
-    hold a term. A term of several tokens is a phrase. Two passes over the documents: statistics,
-    then scores; neither moves more than a row per query and term."""
-    tokens = docs.select(F.col(id_col), index_tokens(F.col(text_col)).alias("tokens"))
-    asked = queries.select("query_id", F.posexplode("terms").alias("no", "term")).select("query_id", "no", index_tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
-    n = F.size("phrase")
-    # a document without the first token needs no look at its places
-    tf = F.when(F.array_contains("tokens", F.element_at("phrase", 1)), F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1))), lambda i: F.slice("tokens", i, n) == F.col("phrase")))).otherwise(0)
-    hits = against_all(asked, tokens, "query_id", F.lit(None)).drop("sim").withColumn("tf", tf).where("tf > 0").select("query_id", "no", id_col, "tf", F.size("tokens").alias("length"))
-    total = tokens.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("mean_length"))
+def phrases(queries: DataFrame) -> DataFrame:
+    """Of (query_id, terms array<string>): (query_id, no, phrase), a term's tokens in order."""
+    asked = queries.select("query_id", F.posexplode("terms").alias("no", "term"))
+    return asked.select("query_id", "no", index_tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
+
+
+def asked_tokens(asked: DataFrame) -> list[str]:
+    """The distinct tokens of the phrases; queries are a stated set, checked to be small."""
+    tokens = [r[0] for r in asked.select(F.explode("phrase").alias("t")).distinct().limit(100 * BLOCK + 1).collect()]
+    if len(tokens) > 100 * BLOCK:
+        raise ValueError(f"queries of more than {100 * BLOCK} tokens")
+    return tokens
+
+
+def score_postings(places: DataFrame, asked: DataFrame, total: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """BM25 of postings (term, id, pos, length), at least of the tokens asked for, and the one row
+    (docs, mean_length): (query_id, id, score) for documents that hold a term. Postings join the
+    phrases on their terms; a phrase stands where each of its tokens has a place as many steps on."""
+    wanted = asked.select("query_id", "no", F.size("phrase").alias("n"), F.posexplode("phrase").alias("k", "term"))
+    starts = places.join(F.broadcast(wanted), "term").groupBy("query_id", "no", "n", id_col, (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("held"), F.max("length").alias("length"))
+    hits = starts.where("held = n").groupBy("query_id", "no", id_col).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
     df = hits.groupBy("query_id", "no").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -102,6 +122,22 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     return hits.join(F.broadcast(df), ["query_id", "no"]).crossJoin(F.broadcast(total)).groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
 
 
+def statistics(docs: DataFrame, length: str = "length") -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(length).alias("mean_length"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of documents and (query_id, terms array<string>): (query_id, id, score) for documents that
+    hold a term. A term of several tokens is a phrase. Texts are taken apart once; what is kept of
+    a document are its length and the places of tokens that are asked for."""
+    asked = phrases(queries)
+    wanted = F.array(*map(F.lit, asked_tokens(asked))).cast("array<string>")
+    tokens = docs.select(F.col(id_col), index_tokens(F.col(text_col)).alias("tokens"))
+    kept = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["term"]))
+    held, _ = materialize(tokens.select(id_col, F.size("tokens").alias("length"), kept.alias("hits")), "asked-postings")
+    return score_postings(held.select(id_col, "length", F.inline("hits")), asked, statistics(held), id_col)
+
+
 def result(rows: DataFrame, text_col: str = "text", chars: int = 160) -> DataFrame:
     """Result rows: rounded scores, the day of change and the beginning of the text in one line."""
     snippet = F.translate(F.substring(text_col, 1, chars), "\n", " ")

@@ -74,6 +74,20 @@ def language_switches(rows: DataFrame, session: str, order: str, lang: str = "la
     return rows.withColumn("switched", before.isNotNull() & (before != F.col(lang)))
 
 
+def lock_language(rows: DataFrame, session: str, order: str, lang: str = "lang") -> DataFrame:
+    """With every row in the language that its session was first heard in; a session in which none
+    was heard stays without."""
+    first = rows.where(F.col(lang).isNotNull()).groupBy(session).agg(F.min_by(lang, order).alias("__first"))
+    return rows.join(first, session, "left").withColumn(lang, F.col("__first")).drop("__first")
+
+
+def heard_again(rows: DataFrame, session: str, order: str, again: Column, said: str = "said", lang: str = "lang") -> DataFrame:
+    """Rows behind a switch of language are heard again without the prompt, which was in the other
+    language: ``said`` is what the second hearing, a column of (text, lang), gives."""
+    rows = language_switches(rows, session, order, lang)
+    return rows.withColumn("__again", F.when(F.col("switched"), again)).withColumn(said, F.coalesce("__again.text", said)).withColumn(lang, F.coalesce("__again.lang", lang)).drop("__again")
+
+
 def caption_line(said: Column, translation: Column, style: str = "both") -> Column:
     """What a titler shows of the current caption."""
     shown = F.coalesce(translation, F.lit(""))

@@ -1,7 +1,8 @@
 """Whole jobs: build an index of files, search it, evaluate a search, record a stream.
 
-An index is a folder of generations; each holds ``docs``, ``chunks`` and ``postings`` as Parquet,
-and counts only once all three are complete. A build reads the last generation, replaces what it
+An index is a folder of generations; each holds ``docs``, ``chunks``, ``postings`` (sorted by term, so
+a search reads the ranges of its terms) and ``stats`` as Parquet, and counts only once all are
+complete. A build reads the last generation, replaces what it
 finds again and writes the next; files that are gone stay unless ``prune`` is asked for.
 """
 
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import chunking, providers, text, timephrase
-from loomspan.operators import evaluate, retrieval, tables, transcript
+from loomspan.operators import evaluate, notes, retrieval, tables, transcript
+from loomspan.session import materialize, release
 from loomspan.sources import files
+from loomspan.streaming import sinks, state
 
-TABLES = ("docs", "chunks", "postings")
+TABLES = ("docs", "chunks", "postings", "stats")
 Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
 
 
@@ -44,7 +47,7 @@ def build(spark: SparkSession, folder: str, index: str, embed: Embedder = provid
     """Counts of documents, chunks and skipped files of the new generation."""
     if not _exists(spark, folder):
         raise ValueError(f"no folder {folder}")
-    found = files.documents(files.scan(spark, folder)).cache()
+    found, path = materialize(files.documents(files.scan(spark, folder)), "found-files")
     docs, skipped = found.where("error is null").withColumn("seen", F.current_timestamp()), found.where("error is not null").count()
     units = files.units(docs)
     pieces = units.select("doc_id", "path", "title", "pos", "unit_id", F.posexplode(chunking.chunker()(F.col("text"))).alias("no", "text"))
@@ -64,8 +67,11 @@ def build(spark: SparkSession, folder: str, index: str, embed: Embedder = provid
     docs.write.mode("overwrite").parquet(f"{at}/docs")
     chunks.write.mode("overwrite").parquet(f"{at}/chunks")
     stored = spark.read.parquet(f"{at}/chunks")
-    retrieval.postings(stored, "chunk_id", "text").write.mode("overwrite").parquet(f"{at}/postings")
-    found.unpersist()
+    retrieval.postings(stored, "chunk_id", "text").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
+    lengths = spark.read.parquet(f"{at}/postings").groupBy("chunk_id").agg(F.max("length").alias("length"))
+    sized = stored.select("chunk_id").join(lengths, "chunk_id", "left").select(F.coalesce("length", F.lit(0)).alias("length"))
+    retrieval.statistics(sized).write.mode("overwrite").parquet(f"{at}/stats")
+    release(spark, path)
     return {"docs": spark.read.parquet(f"{at}/docs").count(), "chunks": stored.count(), "skipped": skipped}
 
 
@@ -76,8 +82,11 @@ def search(index: dict[str, DataFrame], queries: DataFrame, embed: Embedder = pr
     asked = asked.withColumn("query_vector", providers.embedding(embed)("said")).withColumn("terms", text.exact_terms(F.col("said")))
     scored = retrieval.cosine_scores(asked.select("query_id", "start", "end", "query_vector"), index["chunks"].select("chunk_id", "doc_id", "vector"))
     dates = index["docs"].select("doc_id", "created", "modified")
-    semantic = retrieval.dense_rank_from_zero(scored, "sim", "chunk_id").drop("vector", "query_vector").join(dates, "doc_id")
-    found = retrieval.bm25(index["chunks"], asked.where(F.size("terms") > 0).select("query_id", "terms"), "chunk_id", "text")
+    ranked = retrieval.dense_rank_from_zero(scored.drop("vector", "query_vector"), "sim", "chunk_id").join(dates, "doc_id")
+    semantic, _ = materialize(ranked, "semantic")  # read three times below
+    phrases = retrieval.phrases(asked.where(F.size("terms") > 0).select("query_id", "terms"))
+    places = index["postings"].where(F.col("term").isin(retrieval.asked_tokens(phrases)))
+    found = retrieval.score_postings(places, phrases, index["stats"], "chunk_id")
     keyword = retrieval.dense_rank_from_zero(found, "score", "chunk_id")
     ok = timephrase.in_range(F.col("start"), F.col("end"), F.col("modified"), F.col("created"))
     best = retrieval.hybrid(semantic, keyword, ok, top)
@@ -101,3 +110,27 @@ def record(shown: DataFrame, out: str, session: str = "session") -> None:
     a folder per session; drafts never reach it."""
     lines = transcript.render(shown.where("final")).select(session, "at", F.rtrim(F.col("record"), F.lit("\n")).alias("value"))
     lines.repartitionByRange(F.col(session), F.col("at")).sortWithinPartitions(session, "at").select(session, F.concat("value", F.lit("\n")).alias("value")).write.mode("append").partitionBy(session).text(out)
+
+
+def listen(spark: SparkSession, frames: str, out: str, checkpoint: str, idle: int | None = 60_000, tick: str | None = None):
+    """Utterances of a folder of frames (stream, seq, speech, power) as they come, a folder a
+    batch below ``out``; over what there is now, or every ``tick`` for as long as it runs."""
+    rows = spark.readStream.schema("stream string, seq long, speech boolean, power double").parquet(frames)
+    shown = state.run(rows, state.Utterances, state.UTTERANCE, idle)
+    query = state.start(spark, shown, checkpoint, lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"), tick)
+    if not tick:
+        query.awaitTermination()
+    return query
+
+
+def minutes(spark: SparkSession, transcripts: str, out: str, make=providers.extractive_notes, translate=None, target: str = "tr") -> DataFrame:
+    """Notes of every transcript file of a folder, a text file a session below ``out``, and what
+    they say that nobody said: (session, words, numbers). A session is the file's path."""
+    whole = spark.read.option("wholetext", True).text(transcripts).select(F.col("_metadata.file_name").alias("session"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    entries = transcript.parse(whole)
+    if translate is not None:
+        entries = notes.fill_gaps(entries, translate, target)
+    entries, _ = materialize(entries, "entries")
+    written, _ = materialize(notes.write(notes.prompt(entries, target=target), make), "notes")
+    sinks.notes(written, out)
+    return notes.audit(written, entries).where((F.size("words") > 0) | (F.size("numbers") > 0))

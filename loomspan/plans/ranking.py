@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import exact_terms
 from loomspan.functions.timephrase import in_range, parse, search_text
 from loomspan.operators import evaluate, retrieval, similar
 from loomspan.session import table
@@ -57,8 +58,8 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other_fold = F.pmod(F.col("chunk_id"), F.lit(5)) != F.pmod(F.col("query_id") / 50, F.lit(5)).cast("int")
-    near = _neighbours(spark, sf_dir, other_fold & (F.col("chunk_id") != F.col("query_id")))
+    """Every query is judged by neighbours of the other folds alone."""
+    near = _neighbours(spark, sf_dir, evaluate.folds(F.col("chunk_id")) != evaluate.folds(F.col("query_id")))
     return evaluate.majority(near)
 
 
@@ -84,9 +85,8 @@ def _hybrid(spark: SparkSession, sf_dir: str, phrase: str, keyword: bool) -> Dat
     semantic = retrieval.dense_rank_from_zero(scored, "sim", "chunk_id")
     words = None
     if keyword:
-        docs = table(spark, sf_dir, "documents").join(_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")
-        terms = spark.createDataFrame([(0, asked.said.split())], "query_id long, terms array<string>")
-        found = retrieval.bm25(docs, terms).withColumn("score", F.round("score", 6)).withColumnRenamed("doc_id", "chunk_id")
+        terms = spark.range(1).select(F.col("id").alias("query_id"), exact_terms(F.lit(asked.said)).alias("terms"))
+        found = retrieval.bm25(table(spark, sf_dir, "documents"), terms).withColumn("score", F.round("score", 6)).withColumnRenamed("doc_id", "chunk_id")
         words = retrieval.dense_rank_from_zero(found, "score", "chunk_id")
     modified = F.date_add(F.lit("2025-09-01").cast("date"), F.pmod("chunk_id", F.lit(366)).cast("int"))
     semantic = semantic.withColumn("modified", modified).withColumn("created", F.date_sub(modified, 30))
@@ -95,7 +95,8 @@ def _hybrid(spark: SparkSession, sf_dir: str, phrase: str, keyword: bool) -> Dat
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir, "the license", True)
+    """Keyword ranks are over all documents; a hit without a vector has no chunk to show."""
+    return _hybrid(spark, sf_dir, 'the "rights reserved" or "cc by"', True)
 
 
 def date_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_produc
 _S = _V + ", s AS (SELECT a.vec_id AS q, a.label AS ql, b.vec_id, b.label, CASE WHEN a.n * b.n = 0 THEN 0 ELSE list_dot_product(a.e, b.e) / (a.n * b.n) END AS sim FROM v a, v b WHERE {})"
 _ONE, _MANY = _S.format("a.vec_id = 0"), _S.format("a.vec_id % 50 = 0")
 _FIVE = "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS place FROM s WHERE {} QUALIFY place <= 5)"
-_KNN = _MANY + ", " + _FIVE.format("vec_id <> q AND vec_id % 5 <> (q // 50) % 5") + ", c AS (SELECT q AS query_id, label, count(*) AS votes FROM r GROUP BY 1, 2), k AS (SELECT query_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) = 1)"
+_KNN = _MANY + ", " + _FIVE.format("(vec_id // 50) % 5 <> (q // 50) % 5") + ", c AS (SELECT q AS query_id, label, count(*) AS votes FROM r GROUP BY 1, 2), k AS (SELECT query_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) = 1)"
 _T = "t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS t FROM documents)"
 
 
@@ -142,7 +143,7 @@ ORACLE_SQL = {
     "class_accuracy": f"WITH {_KNN} SELECT label, count(*) AS n, round(avg((label = predicted)::INT), 6) AS accuracy FROM k JOIN embeddings ON vec_id = query_id GROUP BY label",
     "bm25_rank": f"WITH {_bm25(_T, KEYWORDS)} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM b QUALIFY rank < 10",
     "inverted_index": f"WITH {_T} SELECT term, count(*) AS places, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term",
-    "hybrid_rrf": f"WITH {_ONE}, {_bm25('t AS (SELECT * FROM (' + _T[6:-1] + ') WHERE doc_id IN (SELECT vec_id FROM embeddings))', [(0, ['the', 'license'])])}, r AS (SELECT label AS doc_id, vec_id AS chunk_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), w AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS krank FROM b), f AS (SELECT doc_id, chunk_id, rank, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + krank), 0) AS score FROM r LEFT JOIN w USING (chunk_id)) {_BEST}",
+    "hybrid_rrf": f"WITH {_ONE}, {_bm25(_T, [(0, ['rights reserved', 'cc by'])])}, r AS (SELECT label AS doc_id, vec_id AS chunk_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), w AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS krank FROM b), f AS (SELECT doc_id, chunk_id, rank, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + krank), 0) AS score FROM r LEFT JOIN w USING (chunk_id)) {_BEST}",
     "date_filtered_topk": f"WITH {_ONE}, r AS (SELECT label AS doc_id, vec_id AS chunk_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank FROM s), f AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS score FROM r WHERE {_DATES} BETWEEN DATE '2026-07-01' AND DATE '2026-07-31' OR {_DATES} - 30 BETWEEN DATE '2026-07-01' AND DATE '2026-07-31') {_BEST}",
     "covered_before": f"WITH {_MANY} SELECT q AS query_id, count(*) AS covered, min(vec_id) AS first_id FROM s WHERE vec_id <> q AND round(sim, 6) >= 0.4 GROUP BY q",
     "near_duplicates": f"WITH RECURSIVE {_S.format('a.vec_id <> b.vec_id')}, l AS (SELECT q, vec_id AS other FROM s WHERE round(sim, 6) >= 0.4), r AS (SELECT q, other FROM l UNION SELECT r.q, l.other FROM r JOIN l ON l.q = r.other), c AS (SELECT q, min(other) AS least FROM r GROUP BY q), n AS (SELECT q, count(*) AS links FROM l GROUP BY q) SELECT e.vec_id, least(e.vec_id, coalesce(c.least, e.vec_id)) AS class_id, coalesce(n.links, 0)::BIGINT AS links FROM embeddings e LEFT JOIN c ON c.q = e.vec_id LEFT JOIN n ON n.q = e.vec_id",

@@ -56,11 +56,22 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "no", F.round(audio.rms(F.col("frame")), 6).alias("rms"), audio.is_silent(F.col("frame")).alias("silent"))
 
 
+def level_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loudest frame of every vector taken as a source, and whether anything is heard on it."""
+    return audio.probe(frame_levels(spark, sf_dir), "vec_id", "rms", 0.22)
+
+
+def described_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows on screen with what is known of their users: the odd ones have no name."""
+    users = table(spark, sf_dir, "events").where("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.concat(F.lit("user "), F.col("user_id")).alias("name"))
+    return captions.described(caption_window(spark, sf_dir), users, "user_id", name="?")
+
+
 def stream_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The screen of every user after a stream of events has passed the state store."""
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).parquet(f"{source[:-1]}*")
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern that only this file matches
     rows = rows.select(F.col("user_id").cast("string").alias("stream"), segments.seconds_of(F.col("ts")).alias("now"), F.col("event_type").alias("key"), F.col("value").cast("string").alias("text"), F.lit(None).cast("string").alias("source"))
     out, log = scratch(spark, "captions"), scratch(spark, "captions-log")
     state.drain(spark, state.run(rows, state.Captions, state.CAPTION), log, lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out))
@@ -69,7 +80,7 @@ def stream_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.join(last, ["stream", "batch"]).select("stream", "place", "key", "text")
 
 
-QUERIES = {f.__name__: f for f in (gap_sessions, capped_sessions, frame_utterances, caption_upsert, caption_window, level_peaks, frame_levels, stream_captions)}
+QUERIES = {f.__name__: f for f in (gap_sessions, capped_sessions, frame_utterances, caption_upsert, caption_window, level_peaks, frame_levels, level_probe, described_captions, stream_captions)}
 
 _G = f"g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= {HALF_DAY} THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g), k AS (SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS begins, max(ts) AS ends FROM s GROUP BY 1, 2)"
 _L = "l AS (SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, ts) AS event_id, min(ts) AS first_shown FROM events GROUP BY 1, 2)"
@@ -90,4 +101,6 @@ ORACLE_SQL = {
     "caption_window": f"WITH {_L}, p AS (SELECT user_id, event_type, first_shown, row_number() OVER (PARTITION BY user_id ORDER BY first_shown DESC, event_type DESC) AS place, max(first_shown) OVER (PARTITION BY user_id) AS newest FROM l) SELECT user_id, event_type, CAST(place AS INTEGER) AS place FROM p WHERE place <= 2 AND epoch(newest) - epoch(first_shown) <= {7 * 86400}",
     "level_peaks": "SELECT event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), 6) AS peak FROM events",
     "frame_levels": "WITH f AS (SELECT vec_id, no, embedding[no * 16 + 1:no * 16 + 16]::DOUBLE[] AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 16)) AS no FROM embeddings)) SELECT vec_id, CAST(no AS INTEGER) AS no, round(sqrt(list_dot_product(x, x) / 16), 6) AS rms, sqrt(list_dot_product(x, x) / 16) < 0.001 AS silent FROM f",
+    "level_probe": "WITH f AS (SELECT vec_id, no, embedding[no * 16 + 1:no * 16 + 16]::DOUBLE[] AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 16)) AS no FROM embeddings)) SELECT vec_id, max(round(sqrt(list_dot_product(x, x) / 16), 6)) AS loudest, max(round(sqrt(list_dot_product(x, x) / 16), 6)) >= 0.22 AS audible FROM f GROUP BY vec_id",
+    "described_captions": f"WITH {_L}, p AS (SELECT user_id, event_type, first_shown, row_number() OVER (PARTITION BY user_id ORDER BY first_shown DESC, event_type DESC) AS place, max(first_shown) OVER (PARTITION BY user_id) AS newest FROM l) SELECT user_id, event_type, CAST(place AS INTEGER) AS place, CASE WHEN user_id % 2 = 0 THEN 'user ' || user_id ELSE '?' END AS name FROM p WHERE place <= 2 AND epoch(newest) - epoch(first_shown) <= {7 * 86400}",
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import chunking, facts, text, timephrase
-from loomspan.operators import transcript
+from loomspan.functions import chunking, facts, providers, text, timephrase
+from loomspan.operators import notes, transcript
 from loomspan.session import table
 
 TODAY = "2026-08-22"
@@ -80,10 +80,68 @@ def fact_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unsaid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the notes of an hour name and none of its originals does."""
-    s = _said(spark, sf_dir)
-    days = lambda c: F.explode(facts.weekdays(F.col(c))).alias("day")
-    return s.select("hour", days("told")).distinct().join(s.select("hour", days("said")).distinct(), ["hour", "day"], "left_anti")
+    """Words for days in the notes of a user's hour that none of its originals has."""
+    s = _said(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").withColumn("session", F.col("user_id") * 100 + F.col("hour"))
+    written = s.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("told")), "\n").alias("notes"))
+    found = notes.audit(written, s.select("session", "said"))
+    return found.where((F.size("words") > 0) | (F.size("numbers") > 0)).select("session", F.array_join("words", ",").alias("words"), F.array_join("numbers", ",").alias("numbers"))
+
+
+def _told(spark: SparkSession, sf_dir: str, examples: list[tuple]) -> DataFrame:
+    """Every event with one of the examples' texts, by its number."""
+    said = F.element_at(F.array(*[F.lit(x[0]) for x in examples]), (F.col("event_id") % len(examples) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("event of "), said).alias("said"))
+
+
+def _listed(kind: str, examples: list[tuple]):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _told(spark, sf_dir, examples).select("event_id", F.array_join(facts.facts("said")[kind], ",").alias("found"))
+
+    return query
+
+
+#: Texts with what they name, in order: days from today, numbers in words, parts of the day.
+RELATIVE_SAID = [("dünkü toplantı", "-1"), ("heute oder übermorgen", "0,2"), ("bis morgen früh", "1"), ("am Morgen", ""), ("yesterday. Morgen kommt er", "-1,1"), ("vorgestern, tomorrow, yarından sonra", "-2,1"), ("nothing at all", "")]
+WORDS_SAID = [("saat on dörtte", "14"), ("yirmi üç kişi", "23"), ("twenty five people", "5,25"), ("vierundzwanzig Leute", "24"), ("bunu ona söyle", ""), ("sabah ona kadar", "10"), ("altıda ve yedide", "6,7"), ("thirty or forty", "30,40"), ("elli", "50")]
+PARTS_SAID = [("öğleden sonra geldi", "2"), ("Freitagabend", "3"), ("morgens früh", "0"), ("in the morning or at night", "0,4"), ("gece ve sabah", "0,4"), ("Mittwochmittag", "1"), ("nothing", ""), ("öğleden önce, Nachmittag", "0,2")]
+#: Hours from 13 with their Turkish dative.
+DATIVES = {13: "e", 14: "e", 15: "e", 16: "ya", 17: "ye", 18: "e", 19: "a", 20: "ye", 21: "e", 22: "ye", 23: "e"}
+
+
+def clock_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of the afternoon, translated as hours of twelve, put back with their ending; where
+    another number is amiss too, the fallback's text, or nothing."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 11 + 13).cast("int").alias("hour"))
+    odd, none = F.col("event_id") % 7 == 0, F.col("event_id") % 14 == 0
+    said = F.format_string("bis %d Uhr", "hour")
+    told = F.concat(F.lit("saat "), (F.col("hour") - 12).cast("string"), F.lit("'e kadar"), F.when(odd, ", 99 kişi").otherwise(""))
+    second = F.when(odd & ~none, F.concat(F.lit("saat "), F.col("hour")))
+    return e.select("event_id", facts.checked("tr")(said, told, second).alias("shown"))
+
+
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in another language whose translation is missing or names another day, filled."""
+    words = {("xx", "tr"): {"montag": "pazartesi"}}
+    t = _turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "xx").otherwise("tr").alias("said_lang"), F.lit("Montag").alias("said"), F.lit("tr").alias("other_lang"))
+    t = t.withColumn("translation", F.when(F.col("turn") % 4 == 0, F.lit(None)).when(F.col("turn") % 4 == 2, "salı günü").otherwise("elle"))
+    return notes.fill_gaps(t, lambda: providers.dictionary_translator(words)).select("conv_id", "turn", "translation")
+
+
+def languages_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.lock_language(_turns(spark, sf_dir).withColumn("lang", F.when(F.col("turn") > F.col("conv_id") % 3, F.col("role"))), "conv_id", "turn").select("conv_id", "turn", "lang")
+
+
+def heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns behind a switch are heard anew."""
+    again = F.struct(F.concat(F.lit("again "), F.col("said")).alias("text"), F.col("lang").alias("lang"))
+    rows = transcript.heard_again(_turns(spark, sf_dir).select("conv_id", "turn", F.col("role").alias("lang"), F.col("text").alias("said")), "conv_id", "turn", again)
+    return rows.select("conv_id", "turn", "switched", F.sha2("said", 256).alias("sha256"))
+
+
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a titler shows of each turn, in every style."""
+    t = _turns(spark, sf_dir).withColumn("other", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("xx "), F.col("text"))))
+    return t.select("conv_id", "turn", *[F.sha2(transcript.caption_line(F.col("text"), F.col("other"), style), 256).alias(style.replace("-", "_")) for style in ("both", "one-line", "translation", "original")])
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +192,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.as_prompt(rows).select("session", F.sha2("prompt", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (exact_terms, sentence_split, spoken_sentences, chunk_documents, html_strip, time_ranges, fact_days, fact_numbers, fact_same, fact_checked, unsaid_audit, drop_repeat, context_window, language_switches, transcript_render, transcript_parse, prompts)}
+QUERIES = {f.__name__: f for f in (exact_terms, sentence_split, spoken_sentences, chunk_documents, html_strip, time_ranges, fact_days, fact_numbers, fact_same, fact_checked, unsaid_audit, drop_repeat, context_window, language_switches, transcript_render, transcript_parse, prompts, clock_repair, gap_fill, languages_locked, heard_again, caption_lines)}
+LISTED = {"fact_relative": ("relative", RELATIVE_SAID), "fact_number_words": ("numbers", WORDS_SAID), "fact_parts": ("parts", PARTS_SAID)}
+QUERIES |= {name: _listed(*how) for name, how in LISTED.items()}
 
 _SP = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 _STRIP = rf"'^{_SP}+|{_SP}+$', '', 'g'"
@@ -143,6 +203,18 @@ _C = "c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversa
 _CLOCK = """printf('%02d:%02d:%02d', "at" // 3600, "at" % 3600 // 60, "at" % 60)"""
 _R = f"{_C}, r AS (SELECT conv_id, turn * 61 AS \"at\", role, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS said, CASE WHEN turn % 2 = 1 THEN 'xx ' || regexp_replace(text, '[\\r\\n]+', ' ', 'g') END AS tr FROM c)"
 _VALUES = ", ".join("({})".format(", ".join("NULL" if x is None else f"'{x}'" for x in p)) for p in PHRASES)
+
+
+def _keep(t: str) -> str:
+    """A blank behind an abbreviation set aside."""
+    return rf"regexp_replace({t}, '(^|{_SP})((?i:{'|'.join(text.ABBREVIATIONS)})[.!?…]{{1,4}}){_SP}+', '\1\2' || chr(1), 'g')"
+
+
+def _count(t: str) -> str:
+    """The number of words of a text."""
+    return rf"len(list_filter(string_split(regexp_replace({t}, '{_SP}+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
 ORACLE_SQL = {
     "exact_terms": r"""SELECT doc_id, array_to_string(list_concat(regexp_extract_all(coalesce(text, ''), '"([^"]+)"', 1), list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_./-]+'), lambda t: regexp_matches(t, '\p{Nd}') AND length(t) >= 3)), '|') AS terms FROM documents""",
     "sentence_split": rf"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?:]){_SP}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> '') AS s FROM documents) SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, sha256(coalesce(array_to_string(s, chr(31)), '')) AS sha256 FROM s",
@@ -152,7 +224,28 @@ ORACLE_SQL = {
     "fact_numbers": f"WITH {_E} SELECT event_id, CAST(hour AS VARCHAR) AS said_numbers, CAST(hour AS VARCHAR) AS told_numbers FROM e",
     "fact_same": f"WITH {_E} SELECT event_id, day = told AS same FROM e",
     "fact_checked": f"WITH {_E} SELECT event_id, 'until ' || {ENGLISH}[day + 1] || ', ' || hour || ':00' AS shown FROM e",
-    "unsaid_audit": f"WITH {_E} SELECT DISTINCT CAST(hour AS INTEGER) AS hour, CAST(told AS INTEGER) AS day FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.hour = a.hour AND b.day = a.told)",
+    "unsaid_audit": f"WITH {_E}, u AS (SELECT user_id * 100 + hour(ts) AS session, e.day, e.told FROM e JOIN events USING (event_id)), w AS (SELECT DISTINCT session, {ENGLISH}[told + 1] AS word FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.session = a.session AND b.day = a.told)) SELECT session, string_agg(word, ',' ORDER BY word) AS words, '' AS numbers FROM w GROUP BY session",
+    **{name: f"SELECT event_id, {[x[1] for x in examples]}[event_id % {len(examples)} + 1] AS found FROM events" for name, (_, examples) in LISTED.items()},
+    "clock_repair": f"WITH h AS (SELECT event_id, event_id % 11 + 13 AS h FROM events) SELECT event_id, CASE WHEN event_id % 14 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'saat ' || h ELSE 'saat ' || h || chr(39) || {[*DATIVES.values()]}[h - 12] || ' kadar' END AS shown FROM h",
+    "gap_fill": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'pazartesi' ELSE 'elle' END AS translation FROM conversations",
+    "languages_locked": "WITH l AS (SELECT conv_id, turn, CASE WHEN turn > conv_id % 3 THEN role END AS r FROM conversations), f AS (SELECT conv_id, arg_min(r, turn) AS lang FROM l WHERE r IS NOT NULL GROUP BY conv_id) SELECT conv_id, turn, lang FROM l LEFT JOIN f USING (conv_id)",
+    "heard_again": f"WITH {_C}, l AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role, false) AS switched FROM c) SELECT conv_id, turn, switched, sha256(CASE WHEN switched THEN 'again ' ELSE '' END || text) AS sha256 FROM l",
+    "caption_lines": f"WITH {_C}, o AS (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 1 THEN 'xx ' || text ELSE '' END AS other FROM c) SELECT conv_id, turn, sha256(text || CASE WHEN other <> '' THEN chr(10) || other ELSE '' END) AS both, sha256(text || CASE WHEN other <> '' THEN ' — ' || other ELSE '' END) AS one_line, sha256(CASE WHEN other <> '' THEN other ELSE text END) AS translation, sha256(text) AS original FROM o",
+    "spoken_sentences": rf"""WITH {_C}, a AS (SELECT conv_id, turn, regexp_replace(text, {_STRIP}) AS t FROM c),
+b AS (SELECT conv_id, turn, {_keep(_keep('t'))} AS t FROM a),
+s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(t, '([.!?…]){_SP}+', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS s FROM b)
+SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS sentences, sha256(coalesce(replace(array_to_string(s, chr(31)), chr(1), ' '), '')) AS sha256 FROM s""",
+    "chunk_documents": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_STRIP}) AS t, {_count("coalesce(text, '')")} AS n,
+  list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?:]){_SP}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> '') AS s FROM documents),
+z AS (SELECT doc_id, s, list_transform(s, lambda x: {_count('x')}) AS z FROM d WHERE n > {chunking.MOST_WORDS}),
+p AS (SELECT doc_id, s, len(s) AS k, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(z[:i]), 0)) AS p FROM z),
+r AS (
+  SELECT doc_id, 0 AS no, 0::BIGINT AS a, coalesce(list_filter(range(1, k), lambda i: p[i + 2] > {chunking.MOST_WORDS})[1], k) AS e FROM p
+  UNION ALL
+  SELECT doc_id, no + 1, b, coalesce(list_filter(range(e + 1, k), lambda i: p[i + 2] - p[b + 1] > {chunking.MOST_WORDS})[1], k) FROM (
+    SELECT r.doc_id, r.no, r.e, p.k, p.p, coalesce(list_max(list_filter(range(r.a, r.e), lambda i: p.p[r.e + 1] - p.p[i + 1] >= {chunking.OVERLAP})), r.a) AS b FROM r JOIN p USING (doc_id) WHERE r.e < p.k)
+), c AS (SELECT doc_id, no, array_to_string(s[a + 1:e], ' ') AS chunk FROM r JOIN p USING (doc_id) UNION ALL SELECT doc_id, 0, t FROM d WHERE n <= {chunking.MOST_WORDS} AND t <> '')
+SELECT doc_id, CAST(no AS INTEGER) AS no, CAST({_count('chunk')} AS INTEGER) AS words, sha256(chunk) AS sha256 FROM c""",
     "drop_repeat": rf"""WITH {_C}, b AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '{_SP}+', ' ', 'g'), ' '), lambda x: x <> '') AS w, list_filter(string_split(regexp_replace(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '{_SP}+', ' ', 'g'), ' '), lambda x: x <> '') AS p FROM c),
 h AS (SELECT conv_id, turn, p, list_concat(p[len(p) - least(len(p), turn % 4) + 1:], w) AS w FROM b),
 k AS (SELECT conv_id, turn, w, list_transform(p, lambda x: lower(trim(x, '{text.EDGE.replace("'", "''")}'))) AS bk, list_transform(w, lambda x: lower(trim(x, '{text.EDGE.replace("'", "''")}'))) AS hk FROM h)

@@ -19,6 +19,20 @@ def topics(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], TOPIC)
 
 
+def topics_file(spark: SparkSession, path: str) -> DataFrame:
+    """Topics of a YAML file under its ``topics``; a report that is a mapping keeps its format."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML takes the yaml package; topics() takes parsed rows") from e
+    rows = []
+    for r in spark.read.option("wholetext", True).text(path).collect():  # a file of configuration
+        for topic in (yaml.safe_load(r.value) or {}).get("topics") or []:
+            report = topic.get("report")
+            rows.append(topic | {"report": report.get("format") if isinstance(report, dict) else report})
+    return topics(spark, rows)
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 

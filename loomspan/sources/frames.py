@@ -39,6 +39,11 @@ def levels(rows: DataFrame, stream: str, order: str, level: str) -> DataFrame:
     return rows.withColumn("peak", F.max(level).over(recent))
 
 
+def probe(rows: DataFrame, stream: str, level: str, least: float = AUDIBLE) -> DataFrame:
+    """(stream, loudest, audible): whether anything at all is heard on a source."""
+    return rows.groupBy(stream).agg(F.max(level).alias("loudest")).withColumn("audible", F.coalesce(F.col("loudest") >= least, F.lit(False)))
+
+
 def pcm16(samples: Column) -> Column:
     """Samples as 16-bit integers, clipped to -1 and 1."""
     return F.transform(samples, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32767).cast("smallint"))

@@ -62,6 +62,13 @@ def window(rows: DataFrame, stream: str, shown: str, tie: str, lines: int = LINE
     return out
 
 
+def described(rows: DataFrame, metadata: DataFrame, key: str, **defaults) -> DataFrame:
+    """Rows with what is known of their keys; a key without metadata, or an empty field, has the
+    default."""
+    out = rows.join(metadata.select(key, *defaults), key, "left")
+    return out.select(*rows.columns, *[F.coalesce(name, F.lit(value)).alias(name) for name, value in defaults.items()])
+
+
 def finals(rows: DataFrame) -> DataFrame:
     """What a transcript or any lasting record may take."""
     return rows.where("final")
