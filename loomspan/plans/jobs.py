@@ -126,7 +126,7 @@ def listen(spark: SparkSession, frames: str, out: str, checkpoint: str, idle: in
 def minutes(spark: SparkSession, transcripts: str, out: str, make=providers.extractive_notes, translate=None, target: str = "tr") -> DataFrame:
     """Notes of every transcript file of a folder, a text file a session below ``out``, and what
     they say that nobody said: (session, words, numbers). A session is the file's path."""
-    whole = spark.read.option("wholetext", True).text(transcripts).select(F.col("_metadata.file_name").alias("session"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    whole = spark.read.text(transcripts, wholetext=True).select(F.col("_metadata.file_name").alias("session"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     entries = transcript.parse(whole)
     if translate is not None:
         entries = notes.fill_gaps(entries, translate, target)

@@ -26,7 +26,7 @@ def topics_file(spark: SparkSession, path: str) -> DataFrame:
     except ImportError as e:
         raise RuntimeError("reading YAML takes the yaml package; topics() takes parsed rows") from e
     rows = []
-    for r in spark.read.option("wholetext", True).text(path).collect():  # a file of configuration
+    for r in spark.read.text(path, wholetext=True).collect():  # a file of configuration
         for topic in (yaml.safe_load(r.value) or {}).get("topics") or []:
             report = topic.get("report")
             rows.append(topic | {"report": report.get("format") if isinstance(report, dict) else report})
@@ -54,7 +54,7 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 def feeds(spark: SparkSession, path: str) -> DataFrame:
     """(group, title, feed, site) of a two-level OPML outline."""
     rows = []
-    for r in spark.read.option("wholetext", True).text(path).collect():  # a file of configuration
+    for r in spark.read.text(path, wholetext=True).collect():  # a file of configuration
         for group in ElementTree.fromstring(r.value).iter("outline"):
             rows += [(group.get("text"), f.get("text"), f.get("xmlUrl"), f.get("htmlUrl")) for f in group.findall("outline")]
     return spark.createDataFrame(rows, "group string, title string, feed string, site string")
