@@ -135,7 +135,7 @@ def twice_seen(texts: DataFrame, bits: int, least: int = LEAST_CHARS) -> dict[in
 
     schema = "segment int, once binary, twice binary"
     near = F.floor(F.spark_partition_id() / TOGETHER)
-    merged = texts.mapInArrow(local, schema).groupBy("segment", near).applyInPandas(meet, schema).groupBy("segment").applyInPandas(meet, schema).where("twice is not null")
+    merged = texts.mapInArrow(local, schema).groupBy("segment", near).applyInPandas(meet, schema).groupBy("segment").applyInPandas(meet, schema).where("twice is not null").select("segment", "twice")
     return {r.segment: bytes(r.twice) for r in merged.collect()}  # bounded by MAX_BITS
 
 

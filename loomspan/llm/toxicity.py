@@ -62,8 +62,10 @@ PRIOR = np.array([-3.5, 2.0, 2.4, 0.5, 0.6, 2.4, 0.3])
 _LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
-_CONTRACTED = re.compile(r"\b(?:(wo|ca|sha)n['’ʼ]t|n?['’ʼ](?:t|ll|re|ve|[msd]))\b|(?<=[^\W\d_])(?:n['’ʼ]t|['’ʼ](?:ll|re|ve|[msd]))\b")
+_CONTRACTED = re.compile(r"(?<=[^\W\d_])(n?)['’ʼ](t|ll|re|ve|[msd])\b")
 _FULL = {"ll": " will", "re": " are", "ve": " have", "m": " am", "s": "", "d": " would"}
+#: What is left of a verb before "not".
+_STUMPS = {stump: (re.compile(rf"\b{stump}\b"), verb) for stump, verb in (("wo not", "will not"), ("ca not", "can not"), ("sha not", "shall not"))}
 
 
 def normal(text: str) -> str:
@@ -72,13 +74,11 @@ def normal(text: str) -> str:
     if "'" not in low and "’" not in low and "ʼ" not in low:
         return low
 
-    def full(m: re.Match) -> str:
-        if m[1]:
-            return {"wo": "will", "ca": "can", "sha": "shall"}[m[1]] + " not"
-        tail = re.split("['’ʼ]", m[0])[-1]
-        return " not" if tail == "t" and m[0][0] == "n" else _FULL.get(tail, " " + tail)
-
-    return _CONTRACTED.sub(full, low)
+    low = _CONTRACTED.sub(lambda m: " not" if m[1] and m[2] == "t" else m[1] + _FULL.get(m[2], " " + m[2]), low)
+    for stump, (pattern, verb) in _STUMPS.items():
+        if stump in low:
+            low = pattern.sub(verb, low)
+    return low
 
 
 # --- the grammar ----------------------------------------------------------------------------
