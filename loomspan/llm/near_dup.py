@@ -47,7 +47,7 @@ BLOCK, BLOCK_BYTES = 128, 8_000_000
 #: Shared shingles of a tile that are counted at once.
 COLUMNS = 1 << 14
 #: Rows of one key that a join of edges takes in one piece, and keys at most that have more.
-HOT_ROWS, HOT_KEYS = 1000, 20_000
+HOT_ROWS, HOT_KEYS = 200, 20_000
 #: Rounding of distances.
 EPSILON = 1e-9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
