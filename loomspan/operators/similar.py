@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.components import components
 from loomspan.session import materialize
 
 #: Most nodes and about most bytes of a block; blocks that are broadcast together; rows of a
@@ -141,25 +142,6 @@ def _compared(nodes: DataFrame, least: float) -> DataFrame | None:
     return out
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """Of (a, b): (node, component), the least node that a node reaches; the least has no row.
-    Large and small stars in turn, until all trees are stars."""
-    state = None
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e, _ = materialize(small, "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-
-
 def near_classes(items: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """Per item: key, ``class_id`` (the least key that links connect it with, or its own) and
     ``links``, the number of other items whose cosine, rounded to 6 places, is at least ``least``."""
@@ -174,7 +156,7 @@ def near_classes(items: DataFrame, key: str, vector: str, least: float) -> DataF
         return rows.select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
     met, _ = materialize(met, "links")
     links = met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
-    known = nodes.join(links, "node", "left").join(_components(met.where("b is not null").select("a", "b")), "node", "left")
+    known = nodes.join(links, "node", "left").join(components(met.where("b is not null").select("a", "b")), "node", "left")
     known, _ = materialize(known.select("vector", F.coalesce("component", "node").alias("class"), (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
     has = F.col("id").isNotNull()
     return rows.join(known, "vector", "left").select(F.col("id").alias(key), F.when(has, F.coalesce("class", "id")).alias("class_id"), F.when(has, F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("links"))

@@ -1,9 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import editorial, evaluate, retrieval, tables
+from loomspan.functions import text
+from loomspan.operators import components, editorial, evaluate, retrieval, tables
 
 
 def test_cosine_of_odd_vectors(spark):
@@ -82,3 +84,57 @@ def test_evaluation(spark):
     assert {r.query_id: r.predicted for r in evaluate.majority(votes).collect()} == {1: 5, 2: 4}
     names = spark.createDataFrame([("Rapor.DOCX", "rapor"), ("x", "y")], "n string, e string")
     assert [r[0] for r in names.select(evaluate.names_match(F.col("n"), F.col("e"))).collect()] == [True, False]
+
+
+def test_components_with_and_without_hot_centres(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, x) for x in range(501, 540)] + [(700 - x, 700) for x in range(1, 40)] + [(7, 7)]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    for most in (200, 3):
+        monkeypatch.setattr(components, "HOT_ROWS", most)
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: t for x, t in top.items() if x != t}
+
+
+def test_glossary_takes_any_term(spark):
+    words = spark.createDataFrame([("漢字", "kanji"), ("a\\E(", "x"), ("c++", "y"), ("日本", "z"), (None, "n"), ("", "e"), ("Chip", "c"), ("chip", "d")], "term string, target string")
+    text = spark.createDataFrame([(1, "これは漢字です"), (2, "see a\\E( now, and C++."), (3, "chips"), (4, "a CHIP"), (5, None), (6, "")], "id int, t string")
+    want = [(1, "漢字"), (2, "a\\E("), (2, "c++"), (4, "Chip"), (4, "chip")]
+    for block in (100, 1):
+        assert sorted((r.id, r.term) for r in editorial.glossary_hits(text, words, "id", "t", block).collect()) == sorted(want)
+    assert editorial.glossary_hits(text, words.limit(0), "id", "t").count() == 0
+
+
+def test_suggestions_of_repeated_ids_and_null_groups(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 4.0), ("a", 3, 3.0), ("b", 1, 9.0), ("b", 3, None), (None, 4, 1.0), ("a", 2, 4.0)]
+    items = spark.createDataFrame(rows, "g string, id int, s double")
+    got = sorted(((r.g or "-", r.id, r.s or 0.0, r.suggested) for r in editorial.suggest(items, "g", "s", "id", 2).collect()))
+    assert got == [("-", 4, 1.0, True), ("a", 1, 5.0, True), ("a", 2, 4.0, True), ("a", 2, 4.0, True), ("a", 3, 3.0, False), ("b", 1, 9.0, True), ("b", 3, 0.0, False)]
+    counted = editorial.selected_counter(items.withColumn("selected", F.col("id") == 2), "g", 1)
+    assert sorted((r.g or "-", r.selected, r.open) for r in counted.collect()) == [("-", 0, 1), ("a", 2, 0), ("b", 0, 1)]
+
+
+def test_ranks_and_postings_over_many_tasks(spark):
+    """Ranks dealt by range, and phrases found by their places, against plain code."""
+    rng = random.Random(4)
+    scored = [(q, i, round(rng.random(), 1)) for q in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(scored, "query_id int, chunk_id int, sim double").repartition(7)
+    want = {(q, i): n for q in (1, 2) for n, (_, i) in enumerate(sorted((-s, i) for p, i, s in scored if p == q))}
+    assert {(r.query_id, r.chunk_id): r["rank"] for r in retrieval.dense_rank_from_zero(df, "sim", "chunk_id").collect()} == want
+    texts = [" ".join(rng.choice(["a", "b", "c", "Dé"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    queries = spark.createDataFrame([(1, ["a b a", "de"]), (2, ["zz", "..."])], "query_id int, terms array<string>")
+    tokens = [(t or "").lower().replace("é", "e").split() for t in texts]
+    mean = sum(map(len, tokens)) / len(tokens)
+    score = {}
+    for phrase in (["a", "b", "a"], ["de"]):
+        tf = {i: n for i, t in enumerate(tokens) if (n := sum(t[k : k + len(phrase)] == phrase for k in range(len(t))))}
+        idf = max(math.log((len(tokens) - len(tf) + 0.5) / (len(tf) + 0.5)), retrieval.LEAST_IDF)
+        for i, n in tf.items():
+            score[i] = score.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tokens[i]) / mean))
+    for found in (retrieval.bm25(docs, queries), retrieval.score_postings(retrieval.postings(docs, "doc_id", "text"), retrieval.phrases(queries), retrieval.statistics(docs.select(F.size(text.index_tokens(F.col("text"))).alias("length"))))):
+        got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+        assert set(got) == {(1, i) for i in score} and all(abs(got[1, i] - s) < 1e-9 for i, s in score.items())
