@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.components import components, hot, spread
 from loomspan.session import Scratch
 
 #: Words in a shingle and percent of similarity, where nothing else is asked for.
@@ -46,8 +47,6 @@ SLOTS = 1 << 22
 BLOCK, BLOCK_BYTES = 128, 8_000_000
 #: Shared shingles of a tile that are counted at once.
 COLUMNS = 1 << 14
-#: Rows of one key that a join of edges takes in one piece, and keys at most that have more.
-HOT_ROWS, HOT_KEYS = 200, 20_000
 #: Rounding of distances.
 EPSILON = 1e-9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -218,52 +217,6 @@ def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int,
     return l.unionByName(r).groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
-def _spread(rows: DataFrame, other: DataFrame, hot: DataFrame | None, key: str = "u", deal: str = "v", how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``other``, a row per key, on the key. A key of ``hot`` (key, parts)
-    is dealt over that many parts by the column ``deal``, so that no key's rows meet in one task."""
-    if hot is None:
-        return rows.join(other, key, how)
-    parted = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    l = parted(rows).withColumn("part", F.pmod(F.xxhash64(deal), F.col("parts")).cast("int")).drop("parts")
-    r = parted(other).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return l.join(r, [key, "part"], how).drop("part")
-
-
-def _hot(counted: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
-    """Of (key, n), ``total`` rows in all: (key, parts) of keys with more than a fair share, at
-    most ``HOT_KEYS``; None for no such key."""
-    most = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = counted.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
-    return None if hot.isEmpty() else hot
-
-
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Of (a, b): (node, component), the least node that a node reaches; the least has no row.
-
-    Large and small stars in turn: every node is hung to the least node it sees, its greater
-    neighbours first, then its smaller ones, until all trees are stars. The centre of a star has
-    as many edges as the star has nodes: nodes of more than a fair share of the edges, at most
-    ``HOT_KEYS``, have theirs dealt over several tasks."""
-    scratch = scratch or Scratch(edges.sparkSession)
-    state = None
-    e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    total = e.count()
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        seen = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "degrees")
-        hot = _hot(seen, "u", "n", 2 * total)
-        least = seen.select("u", F.least("u", "m").alias("m"))
-        large = _spread(both, least, hot).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _spread(large, down, hot).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = scratch.table(small, "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state, total = tuple(now), now[0]
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document row: id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
@@ -280,8 +233,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = table(shared, "shared-bands")
-    hot = _hot(shared, "key", "size", shared.agg(F.sum("size")).first()[0] or 0)
-    by_key = lambda rows, other, how="inner": _spread(rows, other, hot, "key", "node", how)
+    crowded = hot(shared, "key", "size", shared.agg(F.sum("size")).first()[0] or 0)
+    by_key = lambda rows, other, how="inner": spread(rows, other, crowded, "key", "node", how)
     members = table(by_key(buckets, shared), "bucket-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     members = table(members.join(company, "node").select("key", "node", "company"), "bucket-company")

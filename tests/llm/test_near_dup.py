@@ -3,6 +3,7 @@ import random
 import pytest
 
 from loomspan.llm import near_dup as N
+from loomspan.operators import components
 
 
 def brute(rows, width, percent=80):
@@ -84,17 +85,6 @@ def test_dedup_keeps_columns_and_one_of_each_group(spark):
     assert N.dedup(df.limit(0)).count() == 0
 
 
-def test_components(spark):
-    rng = random.Random(7)
-    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, x) for x in range(501, 540)] + [(7, 7)]
-    top = {x: x for e in edges for x in e}
-    for _ in top:
-        for a, b in edges:
-            top[a] = top[b] = min(top[a], top[b])
-    got = {r.node: r.component for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: t for x, t in top.items() if x != t}
-
-
 def test_coordinates_agree_as_often_as_the_sets():
     import numpy as np
 
@@ -111,8 +101,7 @@ def test_coordinates_agree_as_often_as_the_sets():
 
 
 def test_hot_nodes_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(N, "HOT_ROWS", 3)
-    test_components(spark)
+    monkeypatch.setattr(components, "HOT_ROWS", 3)
     test_large_groups_are_finished_in_tiles(spark, monkeypatch)
 
 
