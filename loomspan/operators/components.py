@@ -16,10 +16,15 @@ from loomspan.session import Scratch
 HOT_ROWS, HOT_KEYS = 200, 20_000
 
 
+def fair(total: int) -> int:
+    """Rows of a key that are no more than a fair share of ``total``."""
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
 def hot(counted: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
     """Of (key, n), ``total`` rows in all: (key, parts) of keys with more than a fair share, at
     most ``HOT_KEYS``; None for no such key."""
-    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    most = fair(total)
     out = counted.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
     return None if out.isEmpty() else out
 
@@ -35,6 +40,15 @@ def spread(rows: DataFrame, other: DataFrame, keys: DataFrame | None, key: str,
     return l.join(r, [key, "part"], how).drop("part")
 
 
+def spread_sized(rows: DataFrame, other: DataFrame, most: int, key: str, size: str, deal: str, how: str = "inner") -> DataFrame:
+    """As :func:`spread`, where both sides carry the size of the row's key: a key of more than
+    ``most`` rows is dealt without any look-up. The size stays that of ``rows``."""
+    parts = F.greatest(F.ceil(F.col(size) / most), F.lit(1)).cast("int")
+    l = rows.withColumn("part", F.pmod(F.xxhash64(deal), parts).cast("int"))
+    r = other.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size)
+    return l.join(r, [key, "part"], how).drop("part")
+
+
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Of (a, b): (node, component), the least node that a node reaches; the least has no row.
 
