@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators.components import components, hot, spread
+from loomspan.operators.components import components, fair, spread_sized
 from loomspan.session import Scratch
 
 #: Words in a shingle and percent of similarity, where nothing else is asked for.
@@ -233,17 +233,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = table(shared, "shared-bands")
-    crowded = hot(shared, "key", "size", shared.agg(F.sum("size")).first()[0] or 0)
-    by_key = lambda rows, other, how="inner": spread(rows, other, crowded, "key", "node", how)
-    members = table(by_key(buckets, shared), "bucket-members")
+    most = fair(shared.agg(F.sum("size")).first()[0] or 0)
+    # every row of a bucket carries its size from here on
+    by_key = lambda rows, other, how="inner": spread_sized(rows, other, most, "key", "size", "node", how)
+    members = table(buckets.join(shared, "key"), "bucket-members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = table(members.join(company, "node").select("key", "node", "company"), "bucket-company")
+    members = table(members.join(company, "node").select("key", "node", "company", "size"), "bucket-company")
     wanted = company.select("node")
     texts = rows.where("id is not null").join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("id").alias("node"), "text")
     texts = table(texts.distinct(), "candidate-texts")
 
     # each bucket's member with most company against the others
-    heads = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x")).select("key", F.col("x.node").alias("a"))
+    heads = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("x"), F.max("size").alias("size")).select("key", F.col("x.node").alias("a"), "size")
     heads = table(heads, "bucket-heads")
     pairs = table(by_key(members, heads).where("a <> node").select("a", F.col("node").alias("b")).distinct(), "candidate-pairs")
     tested = table(confirm(pairs, texts, width, percent), "confirmed-pairs")
@@ -251,17 +252,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     state = table(components(sure, scratch), "components")
 
     # buckets that hold more than one component
-    labelled = table(members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
-    sizes = state.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
-    sizes = table(sizes.where(F.col("size") > BLOCK), "large-components")
+    labelled = table(members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.col("size")), "bucket-components")
+    sizes = state.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("nodes"))
+    sizes = table(sizes.where(F.col("nodes") > BLOCK), "large-components")
     keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("key", "held")
     keys = table(keys, "open-keys")
     if not keys.isEmpty():
         reach = 1 - percent / 100 + EPSILON  # a link's distance at most
         far = tested.select("a", F.col("b").alias("node"), "far")
         open_ = by_key(labelled, keys.join(heads, "key")).join(far, ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-        open_ = table(open_.select("key", "node", "component", "held", "far"), "open-buckets")
-        large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("hub"))
+        open_ = table(open_.select("key", "node", "component", "held", "far", "size"), "open-buckets")
+        large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("nodes", "component")).alias("x"), F.max("size").alias("size")).select("key", F.col("x.component").alias("hub"), "size")
         large = table(large, "open-hubs")
         # a bucket's group: the hub it holds, or the bucket if it is large itself
         dealt = table(by_key(open_, large, "left"), "open-groups")
@@ -273,7 +274,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         answers = table(confirm(listed, texts, width, percent).where("linked").select("a", "b"), "confirmed-pairs")
         # of a bucket's hub and its visitors, those that the distances to the head let meet
         visits = F.col("component") != F.col("hub")
-        bounds = dealt.where("hub is not null").groupBy("key").agg(*[f(F.when(who, F.col("far"))).alias(name) for name, f, who in (("lo_visit", F.min, visits), ("hi_visit", F.max, visits), ("lo_hub", F.min, ~visits), ("hi_hub", F.max, ~visits))])
+        bounds = dealt.where("hub is not null").groupBy("key").agg(F.max("size").alias("size"), *[f(F.when(who, F.col("far"))).alias(name) for name, f, who in (("lo_visit", F.min, visits), ("hi_visit", F.max, visits), ("lo_hub", F.min, ~visits), ("hi_hub", F.max, ~visits))])
         meeting = by_key(dealt.where("hub is not null"), bounds)
         hub_near = ~visits & F.col("far").between(F.col("lo_visit") - reach, F.col("hi_visit") + reach)
         group = F.concat(F.lit("c"), F.col("hub").cast("string")).alias("g")
