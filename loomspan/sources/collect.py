@@ -14,7 +14,8 @@ ITEM = "source string, url string, title string, lang string, seen timestamp, er
 
 def collect(sources: DataFrame, fetch: Callable[[str], list[dict]], seconds: float = 30.0) -> DataFrame:
     """Of (source): rows of ITEM; ``fetch`` gives dicts of url, title, lang. A source that raises
-    or takes longer is one row with an error."""
+    or takes longer is one row with an error. A thread can't be ended from outside, so what has timed
+    out goes on beside the next source until its own connection gives up: ``fetch`` is to set one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = pd.Timestamp.now("UTC").tz_localize(None)
