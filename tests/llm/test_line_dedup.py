@@ -47,3 +47,21 @@ def test_saturated_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(L, "filter_bits", lambda _: L.SEGMENT_BITS)
     monkeypatch.setattr(L.Suspects, "holds", lambda self, h: L.np.ones(len(h), bool))
     assert sorted(map(tuple, L.digest(df).collect())) == want
+
+
+def test_a_filter_at_its_bound_changes_nothing(spark, monkeypatch):
+    """Far more keys than the largest filter has room for: all lines are suspected, results hold."""
+    monkeypatch.setattr(L, "MIN_BITS", L.SEGMENT_BITS)
+    monkeypatch.setattr(L, "MAX_BITS", L.SEGMENT_BITS)
+    rng = random.Random(8)
+    common = [f"a line that several documents hold, number {i}, and long enough" for i in range(9)]
+    docs = [(i, "\n".join([*(f"own line {i} {j} of this document, {rng.random()}" + "x" * 30 for j in range(120)), rng.choice(common)])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert L.filter_bits(df.select(df["text"].cast("binary").alias("text"))) == L.SEGMENT_BITS
+    want = sorted([(*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in brute(docs)])
+    assert sorted(map(tuple, L.digest(df).collect())) == want
+
+
+def test_filters_of_many_tasks_meet_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    test_against_brute_force(spark)
