@@ -176,6 +176,7 @@ def annotate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], text.alias("text"))
     if n == 1:
         found = passed(rows, 0, False)
+        scratch.release()
     else:
         some = [scratch.table(passed(docs.select(text.alias("text")).where("text is not null"), k, True).dropDuplicates(["digest"]), "decontaminate") for k in range(n)]
         every = some[0]
@@ -187,6 +188,7 @@ def annotate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
         items = items.groupBy("digest").agg(F.sort_array(F.collect_list("item")).alias("__items"), F.array(F.max("share")).alias("__shares"))
         lists = scratch.table(spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s")).join(items, "digest").select("digest", _merged("s").alias("__hits"), "__items", "__shares"), "decontaminate")
         counted = passed(rows.withColumn("c_digest", F.unhex(F.sha2("text", 256))).select(*[f"c{i}" for i in range(len(names))], "c_digest", "text"), -1, False).drop(*FOUND[1:])  # no block: counts the words
+        scratch.release(lists)
         found = counted.join(lists, counted["c_digest"] == lists["digest"], "left").drop("c_digest", "digest")
         found = found.select(*[f"c{i}" for i in range(len(names))], "__n_words", F.coalesce("__hits", F.array().cast("array<int>")).alias("__hits"), F.coalesce("__items", F.array().cast("array<string>")).alias("__items"), F.coalesce("__shares", F.array().cast("array<double>")).alias("__shares"))
     share = F.coalesce(F.array_max("__shares"), F.lit(0.0))
