@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
-from loomspan.session import materialize, table
+from loomspan.session import materialize, release, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, *before)  # what the stage has read
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
