@@ -80,6 +80,7 @@ def search(index: dict[str, DataFrame], queries: DataFrame, embed: Embedder = pr
     of its text; keywords count only where a query has quoted phrases or codes."""
     asked = queries.select("query_id", "query", timephrase.parse(F.col("query"), F.coalesce(F.col("today"), F.current_date())).alias("t")).select("query_id", "t.start", "t.end", timephrase.search_text(F.col("query"), F.col("t.rest")).alias("said"))
     asked = asked.withColumn("query_vector", providers.embedding(embed)("said")).withColumn("terms", text.exact_terms(F.col("said")))
+    asked, _ = materialize(asked, "asked")  # parsed and embedded once, read by every plan below
     scored = retrieval.cosine_scores(asked.select("query_id", "start", "end", "query_vector"), index["chunks"].select("chunk_id", "doc_id", "vector"))
     dates = index["docs"].select("doc_id", "created", "modified")
     ranked = retrieval.dense_rank_from_zero(scored.drop("vector", "query_vector"), "sim", "chunk_id").join(dates, "doc_id")
