@@ -1,8 +1,10 @@
 """Similarity join of all items with all: links counted, classes of items that links connect.
 
-Equal vectors are one node. Nodes are packed in blocks, one row a block, and each pair of blocks
-is compared once, as one matrix product. No pair of items becomes a row: a task gives back the
-links of each node and a spanning forest of what it saw, at most an edge for each of its nodes.
+Equal vectors are one node. Nodes are packed in blocks, one row a block. Each block is compared
+with itself first, and its nodes get the class they have within it; then each pair of blocks is
+compared once, as one matrix product. No pair of items becomes a row: a task gives back the
+links of each node and a spanning forest over the classes of its blocks, so what is linked
+within a block adds no edge to any task that meets the block again.
 
 Rows: a vector that is null, has no length or holds null, NaN or infinity is linked with
 nothing, and so are vectors of different sizes. A null id has no links and no class; its row is
@@ -42,9 +44,9 @@ def _unpack(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[np.nda
     return items.field("node").to_numpy(), items.field("copies").to_numpy(), parts
 
 
-def _forest(hits: Iterator[tuple[int, np.ndarray]], n: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest over places 0 to n - 1, of (place, places linked with it)."""
-    label = np.arange(n)
+def _forest(hits: Iterator[tuple[int, np.ndarray]], label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest over classes of places, of (place, places linked with it);
+    ``label`` holds the class of each place and is brought up to date."""
     for i, linked in hits:
         seen = np.unique(label[linked])
         other = seen[seen != label[i]]
@@ -54,8 +56,30 @@ def _forest(hits: Iterator[tuple[int, np.ndarray]], n: int) -> Iterator[tuple[in
             label[np.isin(label, other)] = label[i]
 
 
+def _hits(parts, rivals, copies, their, mine, theirs, least: float, same: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places of the other block linked with it); links are added to ``mine`` and, unless
+    both blocks are the same, to ``theirs``."""
+    for at, v in parts:
+        for where, w in rivals:
+            if v.shape[1] != w.shape[1]:
+                continue
+            for lo in range(0, len(at), STRIP):
+                rows = at[lo : lo + STRIP]
+                sim = v[lo : lo + STRIP] @ w.T
+                close = sim >= least - 1e-6
+                edge = close & (sim < least + 1e-6)
+                close[edge] = np.round(sim[edge], 6) >= least
+                if same:
+                    close[np.arange(len(rows)), lo + np.arange(len(rows))] = False
+                mine[rows] += close @ their[where]
+                if not same:
+                    theirs[where] += copies[rows] @ close
+                for k in np.flatnonzero(close.any(1)):
+                    yield int(rows[k]), where[close[k]]
+
+
 class _Task:
-    """Links of nodes and a forest over the nodes of all tiles since the last ``drain``."""
+    """Links of nodes and a forest over the classes of all tiles since the last ``drain``."""
 
     def __init__(self, least: float):
         self.least, self.links, self.parent, self.edges = least, {}, {}, []
@@ -65,33 +89,14 @@ class _Task:
             self.parent[a] = a = self.parent[up]
         return a
 
-    def tile(self, left, right, same: bool) -> None:
+    def tile(self, left, right, label: np.ndarray, rivals_label: np.ndarray) -> None:
+        """Two blocks, with the class that each node has within its block."""
         (nodes, copies, parts), (others, their, rivals) = left, right
         mine, theirs = np.zeros(len(nodes), np.int64), np.zeros(len(others), np.int64)
-        n = len(nodes)
-
-        def hits() -> Iterator[tuple[int, np.ndarray]]:
-            for at, v in parts:
-                for where, w in rivals:
-                    if v.shape[1] != w.shape[1]:
-                        continue
-                    for lo in range(0, len(at), STRIP):
-                        rows = at[lo : lo + STRIP]
-                        sim = v[lo : lo + STRIP] @ w.T
-                        close = sim >= self.least - 1e-6
-                        edge = close & (sim < self.least + 1e-6)
-                        close[edge] = np.round(sim[edge], 6) >= self.least
-                        if same:
-                            close[np.arange(len(rows)), lo + np.arange(len(rows))] = False
-                        mine[rows] += close @ their[where]
-                        if not same:
-                            theirs[where] += copies[rows] @ close
-                        for k in np.flatnonzero(close.any(1)):
-                            yield int(rows[k]), where[close[k]] + (0 if same else n)
-
-        ids = nodes if same else np.concatenate([nodes, others])
-        for i, j in _forest(hits(), len(ids)):
-            a, b = int(ids[i]), int(ids[j])
+        classes = np.concatenate([label, rivals_label])
+        met = _hits(parts, rivals, copies, their, mine, theirs, self.least)
+        for i, j in _forest(((i, linked + len(nodes)) for i, linked in met), classes.copy()):
+            a, b = int(classes[i]), int(classes[j])
             x, y = self.top(a), self.top(b)
             if x != y:
                 self.parent[y] = x
@@ -117,28 +122,43 @@ def _compared(nodes: DataFrame, least: float) -> DataFrame | None:
     m = math.ceil(held.n / most)
     block = F.pmod(F.xxhash64("node"), F.lit(m)).cast("int").alias("block")
     packed, _ = materialize(nodes.groupBy(block).agg(F.collect_list(F.struct("node", "copies", "vector")).alias("items")), "blocks")
-    left, right = packed.repartition(m), packed.select(F.col("block").alias("other"), F.col("items").alias("rivals"))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, items = (c.slice(k, 1) for c in batch.columns)
+                nodes, copies, parts = _unpack(items)
+                mine, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+                for _ in _forest(_hits(parts, parts, copies, copies, mine, mine, least, same=True), label):
+                    pass
+                yield pa.RecordBatch.from_arrays([block, items, pa.array([nodes[label]], pa.list_(pa.int64())), pa.array([mine], pa.list_(pa.int64()))], names=["block", "items", "label", "links"])
+
+    kind = packed.schema["items"].dataType.simpleString()
+    packed, _ = materialize(packed.repartition(m).mapInArrow(within, f"block int, items {kind}, label array<bigint>, links array<bigint>"), "block-classes")
+    inner = packed.select(F.col("items.node").alias("a"), F.col("label").alias("b"), "links").select(F.inline(F.arrays_zip("a", "b", "links")))
+    none = F.lit(None).cast("bigint")
+    out = inner.where("a <> b").withColumn("links", none).unionByName(inner.where("links > 0").withColumn("b", none))
+    left = packed.select("block", "items", "label").repartition(m)
+    right = packed.select(F.col("block").alias("other"), F.col("items").alias("rivals"), F.col("label").alias("rivals_label"))
     # blocks in a circle: each meets those of the half that follows it, so all have as much to do
     ahead = F.pmod(F.col("other") - F.col("block"), F.lit(m))
-    once = (ahead * 2 < m) | ((ahead * 2 == m) & (F.col("block") < F.col("other")))
+    once = (ahead > 0) & ((ahead * 2 < m) | ((ahead * 2 == m) & (F.col("block") < F.col("other"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task(least)
         for batch in batches:
-            block, items, other, rivals = batch.columns
+            _, items, label, _, rivals, rivals_label = batch.columns
             for k in range(batch.num_rows):
-                same = block[k].as_py() == other[k].as_py()
-                one = _unpack(items.slice(k, 1))
-                task.tile(one, one if same else _unpack(rivals.slice(k, 1)), same)
+                labels = (c.slice(k, 1).flatten().to_numpy() for c in (label, rivals_label))
+                task.tile(_unpack(items.slice(k, 1)), _unpack(rivals.slice(k, 1)), *labels)
                 if len(task.links) > KNOWN:
                     yield from task.drain()
         yield from task.drain()
 
-    out = None
-    for lo in range(0, m, TOGETHER):
+    for lo in range(0, m if m > 1 else 0, TOGETHER):
         some = right.where((F.col("other") >= lo) & (F.col("other") < lo + TOGETHER))
         found = left.crossJoin(F.broadcast(some)).where(once).mapInArrow(run, "a bigint, b bigint, links bigint")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
     return out
 
 
