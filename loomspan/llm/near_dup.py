@@ -12,12 +12,13 @@ confirmed on the full shingle sets.
 Texts with equal sets are one node. In each bucket (texts that share a band) members are first
 held against one centre, the member with most company over all its buckets, which gives each
 member's exact Jaccard distance to it; connected texts need no further pairs. Buckets that still
-hold more than one component are finished exactly. Jaccard distance is a metric, so two members
-whose distances to the centre differ by more than a link allows cannot be linked and are not
-compared. Pairs of different components are listed where bucket and components are small. Where
-a bucket holds part of a large component, its other members become that component's visitors;
-they are compared with the members of it that share such a bucket, and with each other, in
-tiles, a block of texts by a block of texts at once; so no group's pairs are ever emitted as rows.
+hold more than one component are finished exactly. Their centre has met all members and drops
+out; the rest of a bucket is a group, and buckets with the same rest are one. Where a bucket holds
+part of a large component, its other members become that component's visitors; they are compared
+with the members of it that share such a bucket, and with each other. Jaccard distance is a metric,
+so members of the component whose distances to the centre differ from those of all visitors by
+more than a link allows are left out. Groups of all sizes are compared in tiles, a block of texts
+by a block of texts at once, a small group in one; so no group's pairs are ever emitted as rows.
 
 Rows: a text without words has an empty set and no links. A null id is linked with nothing: its
 component is null and the row is kept. Rows that share an id are one document: a link of one is
@@ -183,23 +184,27 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def tiles(visitors: DataFrame, inside: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of a group's visitors among themselves and to the group's own members; both
     are (g, node, component), texts are (node, text). A group is cut into tiles of at most about
-    ``BLOCK`` by ``BLOCK`` texts and ``BLOCK_BYTES`` a side, each compared at once; of a
-    visitor's links into one component one is enough."""
+    ``BLOCK`` by ``BLOCK`` texts and ``BLOCK_BYTES`` a side, each compared at once; a group of one
+    tile sends each text once. Of a visitor's links into one component one is enough."""
     kind = texts.schema["node"].dataType.simpleString()
     text = texts.select(F.col("node").alias("__node"), "text")
     with_text = lambda df: df.join(text, df["node"] == text["__node"]).drop("__node")
     left = scratch.table(with_text(visitors), "tile-visitors")
-    right = scratch.table(left.unionByName(with_text(inside)), "tile-members")
+    own = scratch.table(with_text(inside), "tile-members")
+    right = left.withColumn("visits", F.lit(True)).unionByName(own.withColumn("visits", F.lit(False)))
     cut = lambda df, name: df.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias(name))
     counts = scratch.table(cut(left, "n_left").join(cut(right, "n_right"), "g"), "tile-counts")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l = left.join(counts, "g").select("g", place("n_left").alias("i"), every("n_right").alias("j"), F.lit(True).alias("visits"), "node", "component", "text")
-    r = right.join(counts, "g").select("g", every("n_left").alias("i"), place("n_right").alias("j"), F.lit(False).alias("visits"), "node", "component", "text")
+    one = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    l = left.join(counts, "g").select("g", place("n_left").alias("i"), every("n_right").alias("j"), one.alias("one"), F.lit(True).alias("left"), "node", "component", "text")
+    r = right.join(counts, "g").where(~(one & F.col("visits"))).select("g", every("n_left").alias("i"), place("n_right").alias("j"), one.alias("one"), F.lit(False).alias("left"), "node", "component", "text")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part[part["visits"] == side] for side in (True, False)]
-        sets = [[shingles(bytes(t), width) for t in side["text"]] for side in sides]
+        of = [shingles(bytes(t), width) for t in part["text"]]
+        at = [np.flatnonzero(part["left"]), np.flatnonzero(part["one"] | ~part["left"])]
+        sides = [part.iloc[x] for x in at]
+        sets = [[of[k] for k in x] for x in at]
         found = []
         if all(map(len, sets)):
             both = common(*sets)
@@ -261,17 +266,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         reach = 1 - percent / 100 + EPSILON  # a link's distance at most
         far = tested.select("a", F.col("b").alias("node"), "far")
         open_ = by_key(labelled, keys.join(heads, "key")).join(far, ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-        open_ = table(open_.select("key", "node", "component", "held", "far", "size"), "open-buckets")
+        open_ = table(open_.select("key", "a", "node", "component", "held", "far", "size"), "open-buckets")
         large = open_.join(sizes, "component").groupBy("key").agg(F.max(F.struct("nodes", "component")).alias("x"), F.max("size").alias("size")).select("key", F.col("x.component").alias("hub"), "size")
         large = table(large, "open-hubs")
-        # a bucket's group: the hub it holds, or the bucket if it is large itself
+        # a bucket's group: the hub it holds, or the bucket itself
         dealt = table(by_key(open_, large, "left"), "open-groups")
-        small = dealt.where(F.col("hub").isNull() & (F.col("held") <= BLOCK)).select("key", "node", "component", "far")
-        other = small.select("key", F.col("node").alias("other"), F.col("component").alias("rival"), F.col("far").alias("off"))
-        rest = small.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("rival")) & (F.abs(F.col("far") - F.col("off")) <= reach)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-        done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        listed = table(rest.join(done, ["a", "b"], "left_anti"), "candidate-pairs")
-        answers = table(confirm(listed, texts, width, percent).where("linked").select("a", "b"), "confirmed-pairs")
+        own = dealt.where("hub is null and node <> a")  # the head has met them all
+        small = own.where(F.col("held") <= BLOCK).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "component"))).alias("rest"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        small = small.where("lo < hi").groupBy("rest").agg(F.min("key").alias("key")).select("key", F.explode("rest").alias("x")).select("key", "x.node", "x.component")
         # of a bucket's hub and its visitors, those that the distances to the head let meet
         visits = F.col("component") != F.col("hub")
         bounds = dealt.where("hub is not null").groupBy("key").agg(F.max("size").alias("size"), *[f(F.when(who, F.col("far"))).alias(name) for name, f, who in (("lo_visit", F.min, visits), ("hi_visit", F.max, visits), ("lo_hub", F.min, ~visits), ("hi_hub", F.max, ~visits))])
@@ -281,10 +283,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         inside = meeting.where(hub_near).select(group, "node", "component").distinct()
         # visitors meet each other too: all that share the bucket stay
         by_hub = meeting.where(visits).select(group, "node", "component").distinct()
-        by_bucket = dealt.where(F.col("hub").isNull() & (F.col("held") > BLOCK)).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
+        by_bucket = own.where(F.col("held") > BLOCK).select("key", "node", "component").distinct().unionByName(small).select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("g"), "node", "component")
         visitors = table(by_hub.unionByName(by_bucket), "visitors")
         met = table(tiles(visitors, inside, texts, width, percent, scratch), "tile-links")
-        state = table(components(sure.unionByName(answers).unionByName(met), scratch), "components")
+        state = table(components(sure.unionByName(met), scratch), "components")
     scratch.release(mine, state)
     label = F.coalesce("component", "node")
     return mine.join(state, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))

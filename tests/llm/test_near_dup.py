@@ -141,3 +141,55 @@ def test_near_copies_are_found(spark, words):
         copies.add(2 * i + 1)
     got = {r.doc_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect() if not r.kept}
     assert got <= copies and len(got) >= 0.98 * len(copies)
+
+
+def near_group(seed, n, words=200):
+    """Texts from one base, most of them no links of each other, and a link for every tenth."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(words)], []
+    for _ in range(n):
+        v = [word() if rng.random() < 0.06 else w for w in base]
+        rows.append((len(rows), " ".join(v)))
+        if len(rows) % 10 == 0:
+            v[rng.randrange(words)] = word()
+            rows.append((len(rows), " ".join(v)))
+    return rows
+
+
+def joined(spark, since=-1):
+    """Most rows that a join made in the executions after ``since``, and the last one's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most, last = store.executionsList(), 0, since
+    for run in [runs.apply(k).executionId() for k in range(runs.size())]:
+        if run <= since:
+            continue
+        last = max(last, run)
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in [nodes.apply(k) for k in range(nodes.size()) if "Join" in nodes.apply(k).name()]:
+            for metric in [node.metrics().apply(k) for k in range(node.metrics().size())]:
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, last
+
+
+def test_no_join_makes_rows_of_pairs(spark):
+    """Buckets of some 80 texts that are no links: their pairs are many times their rows."""
+    rows = near_group(4, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.count()
+    since = joined(spark)[1]
+    got = N.classes(df, width=2).collect()
+    most = joined(spark, since)[0]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, 2)
+    assert 20 < len(rows) - len({r.component_id for r in got}) < 200
+    assert 0 < most <= N.BANDS * len(rows)
+
+
+def test_small_groups_of_long_texts_are_cut_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 20_000)
+    rows = near_group(5, 60)
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, 2)
