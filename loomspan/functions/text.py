@@ -60,11 +60,19 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
+def _bare(text: Column) -> Column:
+    marked, plain = _plain_letters()
+    return F.lower(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{M}", ""), marked, plain))
+
+
 def index_tokens(text: Column) -> Column:
     """Index terms: lower-cased runs of letters and digits, without diacritics."""
-    marked, plain = _plain_letters()
-    bare = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{M}", ""), marked, plain)
-    return F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_bare(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def index_line(text: Column) -> Column:
+    """The index terms in one line, a blank between two of them, and perhaps one at the ends."""
+    return F.regexp_replace(_bare(text), r"[^\p{L}\p{N}]+", " ")
 
 
 def _edge_key(word: Column) -> Column:

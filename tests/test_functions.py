@@ -142,3 +142,8 @@ def test_providers(spark):
         providers.first_answer(down, down)(1)
     p = spark.sql("SELECT map('tr', 0.2, 'de', 0.3, 'fr', 0.5) AS p")
     assert p.select(providers.allowed_language(F.col("p"), ["tr", "de", "en"])).first()[0] == "de"
+
+
+def test_line_of_index_terms(spark):
+    texts = ["Çay İçin ığüé-42 naïve", None, "", " ...a\n\tb_c  漢字 x́y 𝒜𝟙 Σας' ΑΣ'Α "]
+    assert [x.split() for x in column(spark, texts, text.index_line)] == column(spark, texts, text.index_tokens)

@@ -138,3 +138,20 @@ def test_ranks_and_postings_over_many_tasks(spark):
     for found in (retrieval.bm25(docs, queries), retrieval.score_postings(retrieval.postings(docs, "doc_id", "text"), retrieval.phrases(queries), retrieval.statistics(docs.select(F.size(text.index_tokens(F.col("text"))).alias("length"))))):
         got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
         assert set(got) == {(1, i) for i in score} and all(abs(got[1, i] - s) < 1e-9 for i, s in score.items())
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_terms_are_counted_without_a_row_for_a_place(spark, again):
+    """Ids of several rows count once, null ids not at all; no posting was spared before."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "Dé", f"w{i % 40}"]) for _ in range(rng.randint(0, 9)))) for i in range(90)]
+    rows += [(None, "a a null"), (None, "a"), (91, None), (92, ""), (93, "...")] + ([(5, "a b twice"), (5, "a twice"), (6, None)] if again else [])
+    places, docs = {}, {}
+    for i, t in rows:
+        for w in (t or "").lower().replace("é", "e").replace(".", "").split():
+            places[w] = places.get(w, 0) + 1
+            docs.setdefault(w, set()).update({i} - {None})
+    found = retrieval.term_counts(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), "doc_id", "text")
+    assert sorted(map(tuple, found.collect())) == sorted((w, n, len(docs[w])) for w, n in places.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Generate" in plan) == again and "MapInArrow" in plan
