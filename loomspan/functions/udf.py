@@ -20,3 +20,16 @@ def series_udf(returns: str) -> Callable:
         return on
 
     return wrap
+
+
+def array_udf(returns: str) -> Callable:
+    """As ``arrow_udf``, made when it is first applied to columns."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        @functools.wraps(f)
+        def on(*columns) -> Column:
+            return F.arrow_udf(f, returns)(*columns)
+
+        return on
+
+    return wrap

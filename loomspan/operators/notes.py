@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -88,6 +89,11 @@ def write(prompts: DataFrame, make: Callable[[], Callable[[str], str]], session:
     return prompts.select(session, ask("prompt").alias("notes"))
 
 
+@functools.lru_cache(facts.REMEMBERED)
+def _unsaid(text: str, known: facts.Facts) -> tuple[list[str], list[int]]:
+    return facts.unsaid(text, [known])
+
+
 def audit(notes: DataFrame, entries: DataFrame, session: str = "session") -> DataFrame:
     """(session, words, numbers): days, times and numbers of the notes that no original has. The
     originals' facts are gathered as small sets, never as texts."""
@@ -97,8 +103,8 @@ def audit(notes: DataFrame, entries: DataFrame, session: str = "session") -> Dat
 
     @F.pandas_udf("words array<string>, numbers array<int>")
     def unsaid(text: pd.Series, days: pd.Series, relative: pd.Series, parts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
-        sets = [[frozenset(x) if x is not None else frozenset() for x in s] for s in (days, relative, parts, numbers)]
-        return pd.DataFrame([facts.unsaid(t or "", [facts.Facts(*f)]) for t, *f in zip(text, *sets, strict=True)], columns=["words", "numbers"])
+        sets = [[frozenset(x.tolist()) if x is not None else frozenset() for x in s] for s in (days, relative, parts, numbers)]
+        return pd.DataFrame([_unsaid(t or "", facts.Facts(*f)) for t, *f in zip(text, *sets, strict=True)], columns=["words", "numbers"])
 
     return notes.join(known, session, "left").select(session, unsaid("notes", *facts.Facts._fields).alias("u")).select(session, "u.*")
 

@@ -82,7 +82,8 @@ def fact_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unsaid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words for days in the notes of a user's hour that none of its originals has."""
     s = _said(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").withColumn("session", F.col("user_id") * 100 + F.col("hour"))
-    written = s.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("told")), "\n").alias("notes"))
+    # equal lines name the same: each is written once, so that notes do not grow with repetition
+    written = s.groupBy("session").agg(F.array_join(F.array_sort(F.collect_set("told")), "\n").alias("notes"))
     found = notes.audit(written, s.select("session", "said"))
     return found.where((F.size("words") > 0) | (F.size("numbers") > 0)).select("session", F.array_join("words", ",").alias("words"), F.array_join("numbers", ",").alias("numbers"))
 

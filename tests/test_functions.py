@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import chunking, facts, providers, text, timephrase
+from loomspan.plans import texts as text_plans
 
 
 def column(spark, values, make, kind="string"):
@@ -147,3 +148,17 @@ def test_providers(spark):
 def test_line_of_index_terms(spark):
     texts = ["Çay İçin ığüé-42 naïve", None, "", " ...a\n\tb_c  漢字 x́y 𝒜𝟙 Σας' ΑΣ'Α "]
     assert [x.split() for x in column(spark, texts, text.index_line)] == column(spark, texts, text.index_tokens)
+
+
+def test_facts_of_repeated_and_null_texts(spark):
+    texts = ["bis Montag, 14 Uhr", None, "", "dün öğleden sonra", "bis Montag, 14 Uhr"] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", facts.facts("t").alias("f"))
+    got = [tuple(r.f) for r in rows.orderBy("i").collect()]
+    assert got == [tuple(sorted(x) for x in facts.read(t)) for t in texts]
+    assert rows.where("i < 0").collect() == []
+
+
+def test_audit_writes_equal_lines_once(spark):
+    """Notes held a line for every event before, however often it was the same."""
+    plan = text_plans.unsaid_audit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(told" in plan and "collect_list" not in plan
